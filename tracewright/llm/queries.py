@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.llm import bpe_fst, quality_rules
 from tracewright.llm.feistel import feistel_shards
 from tracewright.llm.line_dedup import drop_site_boilerplate
 from tracewright.llm.mixing import mix_to_weights
@@ -36,6 +38,23 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    led = quality_rules.ledger(quality_rules.measure(table(spark, sf_dir, "documents")))
+    base = F.col("fail_bits").bitwiseAND(F.lit(quality_rules.policy_mask("base-1")).cast("long")) != 0
+    out = quality_rules.apply_policy(led, "prose-1").withColumn("base_failed", base)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+
+
+def ids_sha256(ids: Column) -> Column:
+    return F.sha2(F.concat_ws(" ", ids.cast("array<string>")), 256)
+
+
+def op8_bpe_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    out = bpe_fst.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decode_col="decoded")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = feistel_shards(table(spark, sf_dir, "documents"), shards=SHARDS, seed=42)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -44,7 +63,9 @@ def op7_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
+    "op3_quality_rules": op3_quality_rules,
     "op7_feistel": op7_feistel,
+    "op8_bpe_fst": op8_bpe_fst,
 }
 
 _DOMAIN = "CASE WHEN try_cast(nullif(regexp_extract(source, '([0-9]{1,9})$', 1), '') AS int) < 10 THEN 'web' WHEN try_cast(nullif(regexp_extract(source, '([0-9]{1,9})$', 1), '') AS int) < 15 THEN 'books' ELSE 'code' END"
@@ -59,6 +80,21 @@ def _share(nodes: str, parent: str, name: str) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT id, unnest(range(1, len(words) - 3)) AS at, words FROM w WHERE len(words) >= 6),
+h AS (SELECT id, at, count(*) OVER (PARTITION BY id, array_to_string(words[at:at + 4], ' ')) AS n FROM g),
+r AS (SELECT id, count(DISTINCT at + k) AS n_repeat_words FROM h, range(5) AS o(k) WHERE n > 1 GROUP BY 1),
+m AS (SELECT w.id, doc_id, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines,
+    len(list_filter(words, lambda x: NOT regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_bare_words, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
+    len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis_lines, len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet_lines
+  FROM w LEFT JOIN r ON w.id = r.id),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (word_chars < 3 * n_words)::BIGINT + 16 * (word_chars > 12 * n_words)::BIGINT
+    + 32 * (10 * n_dup_lines > 3 * n_lines)::BIGINT + 64 * (10 * n_bare_words > 2 * n_words)::BIGINT + 128 * (10 * n_upper > 4 * word_chars)::BIGINT + 256 * (10 * n_ellipsis_lines > 3 * n_lines)::BIGINT + 512 * (10 * n_bullet_lines > 9 * n_lines)::BIGINT AS fail_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, fail_bits = 0 AS kept, fail_bits FROM f""",
     "op1_mixing": rf"""
 WITH slim AS (SELECT doc_id, {_DOMAIN} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, lang AS lang0, source AS source0, coalesce(text, '') AS text,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents),
