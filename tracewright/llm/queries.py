@@ -12,6 +12,9 @@ from tracewright.llm import bpe_fst, quality_rules
 from tracewright.llm.feistel import feistel_shards
 from tracewright.llm.line_dedup import drop_site_boilerplate
 from tracewright.llm.mixing import mix_to_weights
+from tracewright.llm.secret_grammar import find_secrets
+from tracewright.llm.simhash import near_classes
+from tracewright.llm.topk import exact_topk
 
 SHARDS = 40
 
@@ -45,6 +48,24 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op4_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_secrets(table(spark, sf_dir, "documents"))
+    kind = lambda name: F.filter("found", lambda x: x["kind"] == name)
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["stop"].cast("string"))), ",")
+    return out.select(
+        "doc_id",
+        *[F.size(kind(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(joined(F.filter("found", lambda x: x["kind"] != "format")), 256).alias("base_sha256"),
+        joined(F.col("found")).alias("spans"),
+        F.size(kind("format")).cast("long").alias("n_format"),
+    )
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_topk(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 def ids_sha256(ids: Column) -> Column:
     return F.sha2(F.concat_ws(" ", ids.cast("array<string>")), 256)
 
@@ -60,12 +81,20 @@ def op7_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_classes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_secret_grammar": op4_secret_grammar,
+    "op5_topk": op5_topk,
     "op7_feistel": op7_feistel,
     "op8_bpe_fst": op8_bpe_fst,
+    "op9_simhash": op9_simhash,
 }
 
 _DOMAIN = "CASE WHEN try_cast(nullif(regexp_extract(source, '([0-9]{1,9})$', 1), '') AS int) < 10 THEN 'web' WHEN try_cast(nullif(regexp_extract(source, '([0-9]{1,9})$', 1), '') AS int) < 15 THEN 'books' ELSE 'code' END"
@@ -83,9 +112,10 @@ ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
-g AS (SELECT id, unnest(range(1, len(words) - 3)) AS at, words FROM w WHERE len(words) >= 6),
-h AS (SELECT id, at, count(*) OVER (PARTITION BY id, array_to_string(words[at:at + 4], ' ')) AS n FROM g),
-r AS (SELECT id, count(DISTINCT at + k) AS n_repeat_words FROM h, range(5) AS o(k) WHERE n > 1 GROUP BY 1),
+g AS (SELECT id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM w),
+f5 AS (SELECT id, pos, word || ' ' || lead(word, 1) OVER x || ' ' || lead(word, 2) OVER x || ' ' || lead(word, 3) OVER x || ' ' || lead(word, 4) OVER x AS five FROM g WINDOW x AS (PARTITION BY id ORDER BY pos)),
+h AS (SELECT id, pos, count(*) OVER (PARTITION BY id, five) AS n FROM f5 WHERE five IS NOT NULL),
+r AS (SELECT id, count(DISTINCT pos + k) AS n_repeat_words FROM h, range(5) AS o(k) WHERE n > 1 GROUP BY 1),
 m AS (SELECT w.id, doc_id, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines,
     len(list_filter(words, lambda x: NOT regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_bare_words, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
@@ -95,6 +125,11 @@ f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
     (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (word_chars < 3 * n_words)::BIGINT + 16 * (word_chars > 12 * n_words)::BIGINT
     + 32 * (10 * n_dup_lines > 3 * n_lines)::BIGINT + 64 * (10 * n_bare_words > 2 * n_words)::BIGINT + 128 * (10 * n_upper > 4 * word_chars)::BIGINT + 256 * (10 * n_ellipsis_lines > 3 * n_lines)::BIGINT + 512 * (10 * n_bullet_lines > 9 * n_lines)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, fail_bits = 0 AS kept, fail_bits FROM f""",
+    "op5_topk": r"""
+WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(x * 64)) AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: coalesce(z[1] * z[2], 0))), 0)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
     "op1_mixing": rf"""
 WITH slim AS (SELECT doc_id, {_DOMAIN} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, lang AS lang0, source AS source0, coalesce(text, '') AS text,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents),
