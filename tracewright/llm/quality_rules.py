@@ -113,12 +113,13 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     each; other columns are ignored; an empty table gives no rows.
     """
     names = list(dict.fromkeys((id_col, *carry)))
-    slim = df.select(*names, F.col(text_col).alias("_text"))
+    at = names.index(text_col) if text_col in names else len(names)  # a carried text is sent once
+    slim = df.select(*names, *([F.col(text_col).alias("_text")] if at == len(names) else []))
     schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names], *[f"{m} bigint" for m in MEASURES]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = np.array([measured(x.as_py()) for x in batch.column(len(names))], dtype=np.int64).reshape(-1, len(MEASURES))
+            table = np.array([measured(x.as_py()) for x in batch.column(at)], dtype=np.int64).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *[pa.array(table[:, k]) for k in range(len(MEASURES))]], names=[*names, *MEASURES])
 
     return slim.mapInArrow(run, schema)

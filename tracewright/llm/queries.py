@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import bpe_fst, quality_rules
 from tracewright.llm.feistel import feistel_shards
+from tracewright.llm.importance import resample
+from tracewright.llm.licenses import scan_licenses
 from tracewright.llm.line_dedup import drop_site_boilerplate
 from tracewright.llm.mixing import mix_to_weights
 from tracewright.llm.secret_grammar import find_secrets
@@ -76,6 +78,10 @@ def op8_bpe_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), seed=42)
+
+
 def op7_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = feistel_shards(table(spark, sf_dir, "documents"), shards=SHARDS, seed=42)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -86,15 +92,27 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_licenses(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        "n_paragraphs",
+        F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["family"]))), ",").alias("families"),
+        F.array_join(F.transform("found", lambda x: F.concat_ws(":", x["family"], x["start"].cast("string"), x["stop"].cast("string"))), ",").alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_grammar": op4_secret_grammar,
     "op5_topk": op5_topk,
+    "op6_importance": op6_importance,
     "op7_feistel": op7_feistel,
     "op8_bpe_fst": op8_bpe_fst,
     "op9_simhash": op9_simhash,
+    "op10_licenses": op10_licenses,
 }
 
 _DOMAIN = "CASE WHEN try_cast(nullif(regexp_extract(source, '([0-9]{1,9})$', 1), '') AS int) < 10 THEN 'web' WHEN try_cast(nullif(regexp_extract(source, '([0-9]{1,9})$', 1), '') AS int) < 15 THEN 'books' ELSE 'code' END"
