@@ -20,8 +20,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +29,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.llm.common import held
+
 #: Moves kept of the determinised machine; beyond them it starts anew.
-MOVE_LIMIT = 700_000
+MOVE_LIMIT = 500_000
 #: Encoded words kept in each of two generations; a word met again moves to the younger one.
-WORD_LIMIT = 200_000
+WORD_LIMIT = 180_000
 #: Code points that a task holds in encoded form at once, beyond its input batch.
 SLICE_CHARS = 4_000_000
 
@@ -57,9 +59,11 @@ class Transducer:
                     self.token_at.append(-1)
                 node = self.child[key]
             self.token_at[node] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.code = "H" if max(ranks.values(), default=0) < 1 << 16 else "I"
+        self.kind = np.dtype(self.code)
+        self.spines: dict[int, tuple[list, list, bool]] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -75,25 +79,53 @@ class Transducer:
             found = self.index[hypotheses] = {-1: hypotheses}
         return found
 
-    def merged(self, data: bytes) -> list[int]:
-        """Merge the lowest-ranked neighbours until none can be: the definition, used on pairs of tokens."""
+    def merged(self, data: bytes, down_to: int = 1) -> list[bytes]:
+        """Merge the lowest-ranked neighbours until none can be, or ``down_to`` parts are left: the definition."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > down_to:
             rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
             if rank == 1 << 60:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
 
-    def may_follow(self, last: int, token: int) -> bool:
-        key = (last, token)
-        found = self.pairs.get(key)
+    def spine(self, token: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]], bool]:
+        """The parts that stand at a token's left edge, and at its right edge, while it is merged, each with
+        the rank of the merge that ends it; and whether the token is what its bytes merge to, in order of rank.
+        """
+        found = self.spines.get(token)
         if found is None:
-            if len(self.pairs) >= MOVE_LIMIT:
-                self.pairs.clear()
-            found = self.pairs[key] = self.merged(self.tokens.get(last, b"") + self.tokens[token]) == [x for x in key if x >= 0]
+            data = self.tokens[token]
+            sides: tuple[list, list] = ([(data, 1 << 60)], [(data, 1 << 60)])
+            sound = self.merged(data) == [data]
+            for k, side in enumerate(sides):
+                while sound and len(side[-1][0]) > 1:
+                    whole = side[-1][0]
+                    parts = self.merged(whole, 2)
+                    sound = len(parts) == 2 and self.ranks[whole] < side[-1][1]
+                    side.append((parts[0] if k == 0 else parts[-1], self.ranks[whole]))
+            found = self.spines[token] = (sides[0][::-1], sides[1][::-1], sound)
         return found
 
+    def may_follow(self, last: int, token: int) -> bool:
+        """Whether the two tokens' bytes merge to the two tokens: no parts that meet at the border while both are merged merge first."""
+        left, _, sound = self.spine(token)
+        if not sound or last < 0:
+            return sound
+        _, right, _ = self.spine(last)
+        get, i, j = self.ranks.get, 0, 0
+        while True:
+            (a, a_end), (b, b_end) = right[i], left[j]
+            rank = get(a + b)
+            if rank is not None and rank < a_end and rank <= b_end:
+                return False
+            if a_end <= b_end:
+                if a_end == 1 << 60:
+                    return True
+                i += 1
+            else:
+                j += 1
+
     def build(self, row: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
         """The determinised move from ``row`` on ``byte``: the next state and the tokens emitted."""
         live, child, token_at = [], self.child, self.token_at
@@ -119,10 +151,10 @@ class Transducer:
         move = row[byte] = (self.row(tuple(flat)), first[:agreed])
         return move
 
-    def encode_piece(self, data: bytes) -> tuple[int, ...]:
+    def encode_piece(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
         if whole is not None:
-            return (whole,)
+            return [whole]
         if self.n_moves >= MOVE_LIMIT:
             self.forget()
         row, ids, build = self.start, [], self.build
@@ -133,23 +165,27 @@ class Transducer:
         hypotheses, at = row[-1], 0
         while hypotheses[at]:
             at += 3 + hypotheses[at + 2]
-        return (*ids, *hypotheses[at + 3 : at + 3 + hypotheses[at + 2]])
+        ids += hypotheses[at + 3 : at + 3 + hypotheses[at + 2]]
+        return ids
+
+    def packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
 
-    def encode_segment(self, text: str) -> tuple[int, ...]:
+    def encode_segment(self, text: str) -> bytes:
         found = self.pieces_of(text)
         if len(found) == 1:
-            return self.encode_piece(text.encode())
-        ids: list[int] = []
+            return self.packed(self.encode_piece(text.encode()))
+        out = []
         for piece in found:
             word = piece[1:]
             if piece[0] == " " and word.isalpha():
-                ids += self.words.get(word) or self.encode_word(word)
+                out.append(self.words.get(word) or self.encode_word(word))
             else:
-                ids += self.encode_piece(piece.encode())
-        return tuple(ids)
+                out.append(self.packed(self.encode_piece(piece.encode())))
+        return b"".join(out)
 
-    def encode_word(self, word: str) -> tuple[int, ...]:
-        """The ids of " " + word, remembered."""
+    def encode_word(self, word: str) -> bytes:
+        """The ids of " " + word, packed and remembered."""
         ids = self.older.get(word) or self.encode_segment(" " + word)
         if len(word) <= 64:
             if len(self.words) >= WORD_LIMIT:
@@ -157,7 +193,7 @@ class Transducer:
             self.words[word] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text.
 
         Before a single space between two characters that aren't space every match of the
@@ -171,9 +207,10 @@ class Transducer:
             if ids is None:
                 word = words[k]
                 if not word or word[0].isspace() or word[-1].isspace():
-                    return list(chain.from_iterable(map(self.encode_segment, segments(text))))
+                    found = list(map(self.encode_segment, segments(text)))
+                    break
                 found[k] = self.encode_word(word) if k else self.encode_segment(word)
-        return list(chain.from_iterable(found))
+        return np.frombuffer(b"".join(found), self.kind)
 
 
 def segments(text: str) -> list[str]:
@@ -238,16 +275,14 @@ class Decoder:
         return "".join(self.stream(ids))
 
 
-_MACHINES: dict[tuple[str, str], tuple[Transducer, Decoder]] = {}
-
-
 def machines(data: bytes, pattern: str) -> tuple[Transducer, Decoder]:
     """The two machines of a vocabulary; a worker builds them once."""
-    key = (hashlib.sha256(data).hexdigest(), pattern)
-    if key not in _MACHINES:
+
+    def make() -> tuple[Transducer, Decoder]:
         made = Transducer(load_ranks(data), pattern)
-        _MACHINES[key] = (made, Decoder(made.tokens))
-    return _MACHINES[key]
+        return made, Decoder(made.tokens)
+
+    return held(("bpe", hashlib.sha256(data).hexdigest(), pattern), make)
 
 
 def _vocabulary(df: DataFrame, path: str):
@@ -286,7 +321,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", decod
         encoder, decoder = machines(data.value, pattern)
         for batch in batches:
             for start, texts in _slices(batch.column(len(names)), lambda x: len(x or "")):
-                rows = [np.array(encoder.encode(t or ""), dtype=np.int32) for t in texts]
+                rows = [encoder.encode(t or "").astype(np.int32) for t in texts]
                 offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
                 more = [pa.array([decoder.decode(r.tolist()) for r in rows], pa.string())] if decode_col else []

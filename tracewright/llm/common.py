@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,3 +43,19 @@ def word_count(text: Column) -> Column:
 def hex_bucket(digest: Column, digits: int) -> Column:
     """The first ``digits`` hex digits of a digest, as a number."""
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("int")
+
+
+_HELD: dict[object, object] = {}
+
+
+def held(owner: object, make: Callable[[], object]) -> object:
+    """The tables that a Python worker keeps for an operator from task to task.
+
+    Workers outlive stages, so what another operator left goes first: a worker
+    holds the tables of one operator at a time.
+    """
+    if owner not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[owner] = make()
+    return _HELD[owner]

@@ -21,13 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import cut
+from tracewright.llm.common import cut, held
 
 BUCKETS = 1 << 14
 SMOOTH = 1.0
+#: Word hashes a worker keeps.
+HASH_LIMIT = 300_000
 #: Labelled texts that the target model is fitted on, at most: those with the least md5 of their id.
 MAX_TARGETS = 20_000
-_HASHES: dict[bytes, int] = {}
 
 
 def features(text: str | None) -> np.ndarray:
@@ -35,14 +36,15 @@ def features(text: str | None) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.int64)
-    if len(_HASHES) > 300_000:
-        _HASHES.clear()
-    get = _HASHES.get
+    hashes = held("importance", dict)
+    if len(hashes) > HASH_LIMIT:
+        hashes.clear()
+    get = hashes.get
     found = []
     for w in words:
         h = get(w)
         if h is None:
-            h = _HASHES[w] = crc32(w)
+            h = hashes[w] = crc32(w)
         found.append(h)
     one = np.array(found, dtype=np.int64)
     two = (one[:-1] * 31 + one[1:]) * 2_654_435_761 >> 17

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.llm.common import held
+
 WINDOW = 5
 SPACES = (9, 10, 11, 12, 13, 32)
 SYMBOLS = b"#*$%&|<>"
@@ -118,6 +120,7 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names], *[f"{m} bigint" for m in MEASURES]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("quality rules", object)
         for batch in batches:
             table = np.array([measured(x.as_py()) for x in batch.column(at)], dtype=np.int64).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *[pa.array(table[:, k]) for k in range(len(MEASURES))]], names=[*names, *MEASURES])

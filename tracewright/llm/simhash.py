@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import cut
+from tracewright.llm.common import cut, held
 from tracewright.llm.components import connected
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -57,6 +57,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names], "fp bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("simhash", object)
         for batch in batches:
             marks = np.array([fingerprint(x.as_py()) for x in batch.column(len(names))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(marks)], names=[*names, "fp"])
