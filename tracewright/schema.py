@@ -21,12 +21,12 @@ NODES = (
     "id string, session_id string, analyzer_id string, version string, node_kind string, content_json string, source_set_hash string, input_key string, output_key string, "
     "config_fingerprint string, run_id string, cost_usd double, created_at timestamp, retracted_at timestamp, retracted_by_run string"
 )
-EDGES = _struct("from_node_id string, to_ref_kind string, to_ref_id string, edge_kind string, ordinal int")
+EDGES = "from_node_id string, to_ref_kind string, to_ref_id string, edge_kind string, ordinal int"
 PROPOSALS = (
     "id string, created_at timestamp, session_id string, source_node_id string, analyzer_id string, target_type string, title string, severity string, summary string, detail string, "
     "confidence double, cost_usd double, status string, input_key string, source_message_ids array<string>, validated_score double, validation_status string"
 )
-ASSERTIONS = _struct("id string, subject_kind string, subject_key string, verdict string, reason string, asserted_at timestamp, asserted_by string, superseded_at timestamp, disposition string")
+ASSERTIONS = "id string, subject_kind string, subject_key string, verdict string, reason string, asserted_at timestamp, asserted_by string, superseded_at timestamp, disposition string"
 
 #: Legal targets of each kind of edge.
 EDGE_TARGETS = {
