@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def address(text: Column) -> Column:
@@ -60,6 +61,6 @@ def canonical(text: str | None) -> str | None:
         return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
     return texts.map(canonical)

@@ -9,6 +9,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.schema import TURN_WORD_ROLES
 
@@ -64,12 +65,12 @@ def markers_of(text: str | None) -> list[str]:
     return [name for name, hit in tests if hit]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def words(texts: pd.Series) -> pd.Series:
     return texts.map(words_of)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def markers(texts: pd.Series) -> pd.Series:
     return texts.map(markers_of)
 
