@@ -38,7 +38,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("bigint").alias("input"), cents("l_discount").alias("output"),
         F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity").cast("bigint") * 3).otherwise(F.lit(0)).alias("cache_read"),
         cents("l_tax").alias("cache_write"), F.when(F.col("l_returnflag") != "R", F.col("l_extendedprice") / 1e6).alias("cost_usd"),
-        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
+        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint"), cents("l_extendedprice"), cents("l_discount"), cents("l_tax"), "l_returnflag").alias("id"),
     )
 
 
@@ -49,7 +49,7 @@ SQL = {
         json_extract_string(props, '$.k') AS args, event_type IN ('view', 'click') AS read_only, event_type = 'error' AS is_error, CASE WHEN event_type = 'purchase' THEN value END AS cost_usd FROM events""",
     "usage": """SELECT o_custkey AS session_id, o_orderdate AS ts, l_orderkey, l_linenumber, l_partkey, l_partkey AS provider_message_id, l_returnflag || l_linestatus AS model, o_orderpriority AS marker,
         l_quantity::BIGINT AS input, round(l_discount * 100)::BIGINT AS output, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity::BIGINT * 3 ELSE 0 END AS cache_read, round(l_tax * 100)::BIGINT AS cache_write,
-        CASE WHEN l_returnflag <> 'R' THEN l_extendedprice / 1e6 END AS cost_usd, concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+        CASE WHEN l_returnflag <> 'R' THEN l_extendedprice / 1e6 END AS cost_usd, concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT, round(l_extendedprice * 100)::BIGINT, round(l_discount * 100)::BIGINT, round(l_tax * 100)::BIGINT, l_returnflag) AS id FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
 }
 
 
