@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import held
 
 #: Moves kept of the determinised machine; beyond them it starts anew.
-MOVE_LIMIT = 500_000
+MOVE_LIMIT = 400_000
 #: Encoded words kept in each of two generations; a word met again moves to the younger one.
-WORD_LIMIT = 180_000
+WORD_LIMIT = 300_000
+#: Places of the trie with so few tokens below are told apart by which of them are still open.
+FEW = 40
 #: Code points that a task holds in encoded form at once, beyond its input batch.
 SLICE_CHARS = 4_000_000
 
@@ -59,6 +61,7 @@ class Transducer:
                     self.token_at.append(-1)
                 node = self.child[key]
             self.token_at[node] = rank
+        self.below = self.few_below()
         self.code = "H" if max(ranks.values(), default=0) < 1 << 16 else "I"
         self.kind = np.dtype(self.code)
         self.spines: dict[int, tuple[list, list, bool]] = {}
@@ -66,9 +69,24 @@ class Transducer:
         self.older: dict[str, bytes] = {}
         self.forget()
 
+    def few_below(self) -> dict[int, tuple[int, ...]]:
+        """The tokens that end below a place of the trie, for places with ``FEW`` at most."""
+        found: dict[int, tuple[int, ...]] = {}
+        for key, node in reversed(self.child.items()):  # a place comes after those above it
+            own = found.get(node, ())
+            up = key >> 8
+            if own is None or found.get(up, ()) is None:
+                found[up] = None
+                continue
+            here = (self.token_at[node],) if self.token_at[node] >= 0 else ()
+            joined = found.get(up, ()) + here + own
+            found[up] = joined if len(joined) <= FEW else None
+        return {k: v for k, v in found.items() if v is not None} | {k: () for k in self.child.values() if k not in found}
+
     def forget(self) -> None:
         """Start the determinised machine anew. A state is its row of moves; the start row has the start hypothesis."""
         self.index: dict[tuple, dict] = {}
+        self.alike: dict[tuple, int] = {}
         self.n_moves = 0
         self.start = self.row((0, -1, 0))
 
@@ -128,7 +146,7 @@ class Transducer:
 
     def build(self, row: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
         """The determinised move from ``row`` on ``byte``: the next state and the tokens emitted."""
-        live, child, token_at = [], self.child, self.token_at
+        live, child, token_at, below = [], self.child, self.token_at, self.below
         hypotheses, at = row[-1], 0
         while at < len(hypotheses):
             node, last, end = hypotheses[at], hypotheses[at + 1], at + 3 + hypotheses[at + 2]
@@ -136,7 +154,14 @@ class Transducer:
             at = end
             down = child.get(node << 8 | byte)
             if down is not None:
-                live.append((down, last, out))
+                few = below.get(down)
+                if few is None:
+                    live.append((down, last, out))
+                elif few:
+                    # what matters of the last token is which tokens below may follow it; with none, the hypothesis is dead
+                    open_ = tuple([t for t in few if self.may_follow(last, t)])
+                    if open_:
+                        live.append((down, self.alike.setdefault((down, open_), last), out))
                 token = token_at[down]
                 if token >= 0 and self.may_follow(last, token):
                     live.append((0, token, (*out, token)))
