@@ -2,9 +2,11 @@
 
 A line is boilerplate on a host when more than ``max_ratio`` of the host's
 pages hold it (and at least ``min_pages`` do, so a small site does not lose its
-content). Each page counts once per line. Frequencies are partial sums over
+content). Each page counts once per line, and pages with equal texts count as
+one, here and in the host's total: a page that was stored a thousand times does
+not make boilerplate of its own content. Frequencies are partial sums over
 (host, line digest); the pages' texts are never shuffled while the boilerplate
-set is within the broadcast bound. Beyond the bound the lines found in each page
+set is within the broadcast bound, only 16 bytes for each line. Beyond the bound the lines found in each page
 come from a shuffled join whose hot keys adaptive execution splits.
 """
 
@@ -17,21 +19,19 @@ from tracewright.llm.common import BROADCAST_ROWS, WORD, cut
 
 
 def _digests(lines: Column) -> Column:
-    """Digests of the distinct lines that have a word."""
+    """Digests (hex) of the distinct lines that have a word."""
     return F.array_distinct(F.transform(F.filter(lines, lambda x: x.rlike(WORD)), F.md5))
 
 
 def site_boilerplate(df: DataFrame, host_col: str, text_col: str, max_ratio: float, min_pages: int) -> DataFrame:
     """(host, line, pages, ratio) of boilerplate; ``line`` is the md5 of the line's text."""
     host = F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host")
-    pages = df.groupBy(host).agg(F.count("*").alias("total"))
-    lines = (
-        df.select(host, F.explode(_digests(F.split(text_col, "\n", -1))).alias("line"))
-        .groupBy("host", "line")
-        .agg(F.count("*").alias("pages"))
-        .where(F.col("pages") >= min_pages)
-    )
-    return lines.join(pages, "host").withColumn("ratio", F.col("pages") / F.col("total")).where(F.col("ratio") > max_ratio).drop("total")
+    digests = F.transform(_digests(F.split(text_col, "\n", -1)), F.unhex).alias("lines")
+    pages = df.select(host, F.unhex(F.md5(text_col)).alias("page"), digests).groupBy("host", "page").agg(F.any_value("lines").alias("lines"))
+    totals = pages.groupBy("host").agg(F.count("*").alias("total"))
+    lines = pages.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    ratio = lines.join(totals, "host").withColumn("ratio", F.col("pages") / F.col("total")).where(F.col("ratio") > max_ratio)
+    return ratio.select("host", F.lower(F.hex("line")).alias("line"), "pages", "ratio")
 
 
 def drop_site_boilerplate(
@@ -48,8 +48,8 @@ def drop_site_boilerplate(
     replaced). Lines are what lies between line feeds; a line without a word is
     never boilerplate and stays. Null and empty texts stay as they are, with 0
     lines dropped; a text all of whose lines go becomes empty. Rows with a null
-    host form the site "". Repeated rows count as pages of their own. An empty
-    table gives no rows.
+    host form the site "". Repeated rows count once and all lose the same lines. An
+    empty table gives no rows.
     """
     found = cut(site_boilerplate(df, host_col, text_col, max_ratio, min_pages).select("host", "line"))
     kept = [c for c in df.columns if c not in {"n_lines", "n_dropped"}]

@@ -168,7 +168,8 @@ UNION ALL SELECT doc_id, domain, lang0, source0, full_epochs, tokens FROM r WHER
     "op2_line_dedup": r"""
 WITH p AS (SELECT row_number() OVER () AS id, doc_id, source, coalesce(source, '') AS host, text, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT DISTINCT id, host, unnest(lines) AS line FROM p),
-b AS (SELECT host, line FROM (SELECT host, line, count(*) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2) JOIN (SELECT host, count(*) AS total FROM p GROUP BY 1) USING (host) WHERE n >= 5 AND n / total > 0.05),
+u AS (SELECT host, text, min(id) AS id FROM p GROUP BY 1, 2),
+b AS (SELECT host, line FROM (SELECT host, line, count(*) AS n FROM l WHERE id IN (SELECT id FROM u) AND regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2) JOIN (SELECT host, count(*) AS total FROM u GROUP BY 1) USING (host) WHERE n >= 5 AND n / total > 0.05),
 g AS (SELECT id, list(line) AS gone FROM l JOIN b USING (host, line) GROUP BY 1),
 k AS (SELECT p.*, list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), x)) AS stay FROM p LEFT JOIN g USING (id))
 SELECT doc_id, source, coalesce(len(lines), 0) AS n_lines, coalesce(len(lines) - len(stay), 0) AS n_dropped, CASE WHEN text IS NOT NULL THEN array_to_string(stay, chr(10)) END AS text FROM k""",
