@@ -201,3 +201,38 @@ def test_callers(spark):
     assert callers.retried(flaky, sleep=lambda s: None)("p") == "ok" and len(tries) == 3
     got = callers.answers(spark.createDataFrame([("k", "p")], "key string, prompt string"), callers.refuse).first()
     assert got.answer is None and "no model" in got.error
+
+
+def test_touches(spark):
+    from tracewright.operators import touches
+
+    stream = spark.createDataFrame(
+        [("s", 0, 1, "read", '{"path":"a"}', "r1", False), ("s", 1, 2, "read", '{"file_path":"a"}', "r2", False), ("s", 2, 3, "write", '{"path":"b","content":"x"}', None, None), ("s", 3, 4, "bash", '{"command":"ls"}', None, None), ("s", 4, 5, "skill", '{"name":"k"}', None, None)],
+        "session_id string, ord int, seq int, tool string, arguments string, result_message_id string, is_error boolean",
+    )
+    messages = spark.createDataFrame([("r1", "one", [1]), ("r2", "two results", [1, 2])], "id string, content_text string, tool_results array<int>")
+    got = {(r.ord, r.path): r.content for r in touches.file_touches(stream, messages).collect()}
+    assert got == {(0, "a"): "one", (1, "a"): None, (2, "b"): "x"}
+    assert [(r.path, r.n) for r in touches.repeated_reads(stream).collect()] == [("a", 2)]
+    results = spark.createDataFrame([("s", 9, 100.4, 50.0, "read"), ("s", 2, 7.0, 5.0, "bash")], "session_id string, seq int, tokens double, carry double, tool string")
+    assert [tuple(r) for r in touches.skill_use(stream, results, threshold=100).collect()] == [("s", "k", 1, 100, True)]
+    billed = spark.createDataFrame([("s", 11), ("t", 0)], "session_id string, output int")
+    assert {r.session_id: r.amplification for r in touches.read_amplification(results, billed).collect()} == {"s": 5, "t": None}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from tracewright.__main__ import main
+
+    (tmp_path / "p").mkdir()
+    lines = [{"type": "session", "id": "s"}, {"type": "message", "id": "m", "message": {"role": "user", "content": "alpha beta"}}]
+    (tmp_path / "p" / "a.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    table = str(tmp_path / "messages")
+    main(["sync", "pi", str(tmp_path), table])
+    main(["sync", "pi", str(tmp_path), table])
+    main(["search", table, "alpha"])
+    main(["run", "muted_terms", "/root/testdata/sf0.001", "--html", str(tmp_path / "x.html")])
+    main(["queries"])
+    out = capsys.readouterr().out
+    assert "1 new messages\n0 new messages" in out and "content_text" in out and "turn_friction" in out and "<table>" in (tmp_path / "x.html").read_text()

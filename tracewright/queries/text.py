@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tracewright import views
 from tracewright.detect import artifacts, pii, scan, tables
 from tracewright.operators import failures, lexicon, search, turns
-from tracewright.views import table
+from tracewright.queries.conversations import _FRICTION as FRICTION
+from tracewright.views import table, with_views
 
 
 def _searched(spark, sf_dir, query):
@@ -129,6 +130,11 @@ def _pick(values: tuple, by: str) -> str:
 
 
 ORACLE_SQL = {
+    "enrichment_selection": with_views(
+        f"""{FRICTION}, s AS (SELECT *, round(friction_score + CASE WHEN length(user_text) % 3 = 0 THEN 0.5 ELSE 0 END, 6)::DOUBLE AS rank_score FROM fr),
+k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY rank_score DESC, turn_idx) AS rank, count(*) OVER (PARTITION BY session_id) AS n FROM s) SELECT session_id, turn_idx, rank_score, rank::INT AS rank FROM k WHERE rank <= least(40, greatest(1, round(0.2 * n)))""",
+        "messages",
+    ),
     "search_words": f"""WITH {_TOKENS}, c AS (SELECT *, len(list_filter(t, lambda x: x = 'license')) AS a, len(list_filter(t, lambda x: x = 'released')) AS b FROM tok), f AS (SELECT count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c)
 SELECT doc_id, round(-({_PART.format(df="da", tf="a")} + {_PART.format(df="db", tf="b")}), 6) AS score FROM c, st, f WHERE a > 0 AND b > 0""",
     "search_phrase": f"""WITH {_TOKENS}, c AS (SELECT *, list_filter(range(len(t)), lambda k: t[k + 1] = 'general' AND t[k + 2] = 'public' AND t[k + 3] = 'license') AS p FROM tok), f AS (SELECT count(*) FILTER (len(p) > 0) AS d FROM c)
