@@ -236,3 +236,52 @@ def test_command_line(spark, tmp_path, capsys):
     main(["queries"])
     out = capsys.readouterr().out
     assert "1 new messages\n0 new messages" in out and "content_text" in out and "turn_friction" in out and "<table>" in (tmp_path / "x.html").read_text()
+
+
+def test_advice(spark):
+    from tracewright.operators import advice
+
+    eco = spark.createDataFrame([("s", 1, 0, 1, 5, 0.5), ("t", 0, 0, 0, 0, None)], "session_id string, n_cold_start long, n_cold_ttl long, n_cold_prefix long, churn_tokens long, cold_cost_usd double")
+    got = advice.cache(eco).collect()
+    assert {(r.session_id, r.title) for r in got} == {("s", "Keep the prompt cache warm"), ("s", "The prompt's prefix changes"), ("s", "Cached tokens are never read")}
+    assert {r.cost_usd for r in got} == {0.5, None}
+    results = spark.createDataFrame([("u", 6e6), ("s", 9e6)], "session_id string, carry double")
+    cycles = spark.createDataFrame([("s", True, False, 2_000_000, 10)], "session_id string, fired_too_late boolean, fired_too_often boolean, carry_avoided long, rebuild_tokens long")
+    assert {(r.session_id, r.title) for r in advice.compaction(cycles, results).collect()} == {("s", "Compact earlier"), ("u", "Compact long sessions")}
+    mix = spark.createDataFrame([("m", 30, 0.5), ("n", 5, 0.9)], "model string, turns long, escalation_rate double")
+    assert [r.detail for r in advice.models(mix, spark.createDataFrame([("a", "b")], "model string, by string")).collect()] == ["a is no better than b", "m"]
+
+
+def test_listing_and_remediation(spark):
+    rows = [("p1", "k1", "open", "waste", "s", 1.0), ("p2", "k2", "applied", "waste", "s", None), ("p3", "k3", "open", "friction", "t", 2.0)]
+    df = spark.createDataFrame(rows, "id string, input_key string, status string, severity string, session_id string, cost_usd double").withColumns({"validation_status": F.lit(None).cast("string"), "validated_score": F.lit(None).cast("double"), "created_at": F.lit(0)})
+    ids = lambda **f: [r.id for r in proposals.listed(df, **f).collect()]
+    assert ids() == ["p3", "p1", "p2"] and ids(status="open", severity="waste") == ["p1"] and ids(limit=1, offset=1) == ["p1"]
+    assert ids(sources=spark.createDataFrame([("t",)], "session_id string")) == ["p3"]
+    done = spark.createDataFrame([("k1", "done", "x", 1), ("k2", "planned", None, 1), ("k2", "done", "y", 2)], "input_key string, disposition string, actual_change string, decided_at int")
+    assert {r.id: (r.disposition, r.actual_change) for r in proposals.remediate(df, done).collect()} == {"p1": (None, None), "p2": ("done", "y"), "p3": (None, None)}
+    log = spark.createDataFrame([("k1", "rejected", 1), ("k1", "accepted", 2)], "input_key string, verdict string, decided_at int")
+    assert [r.verdict for r in proposals.active(proposals.upsert(proposals.from_decisions(log))).collect()] == ["accepted"]
+
+
+def test_incremental_index(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c")], "id int, body string")
+    idx = search.index(docs.where("id = 1"), "id", ("body",))
+    more = search.extend(idx, docs, "id", ("body",))
+    assert {r.doc_id for r in more.collect()} == {2}
+    both = idx.unionByName(more)
+    assert {r.doc_id for r in search.search(both, "b", *search.statistics(both)).collect()} == {1, 2}
+    assert {r.doc_id for r in search.without(both, spark.createDataFrame([(1,)], "doc_id int")).collect()} == {2}
+
+
+def test_model_analyzers(spark):
+    from tracewright.plans import overview
+
+    rows = [("s", 0, "u0", "fix it", "ok", None), ("s", 1, "u1", "test it", "ok", None)]
+    df = spark.createDataFrame(rows, "session_id string, turn_idx int, user_message_id string, user_text string, assistant_text string, correction_type string")
+    got = {(r.user_message_id, r["class"]) for r in overview.request_classes(df, lambda p: "1: bugs, tests\n2: tests").collect()}
+    assert got == {("u0", "bugs"), ("u0", "tests"), ("u1", "tests")}
+    assert {r.label for r in overview.classify_turns(df, lambda p: p[:7]).collect()} == {"U: fix ", "U: test"}
+    long_ = spark.range(200).select(F.lit("l").alias("session_id"), F.col("id").cast("int").alias("turn_idx"), F.lit("x" * 100).alias("line"))
+    lines = digest.lines(df).union(long_)
+    assert {r.session_id: r.overview for r in overview.overviews(lines, lambda p: str(len(p.split("\n")))).collect()} == {"s": "2", "l": "4"}

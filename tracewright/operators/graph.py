@@ -182,3 +182,18 @@ def provenance(proposals: DataFrame, nodes: DataFrame, edges: DataFrame) -> Data
     at = roots.withColumn("depth", F.lit(0)).union(used.withColumn("depth", F.lit(1)))
     anchors = at.join(edges.where("edge_kind = 'anchors' and to_ref_kind = 'message'"), F.col("ref_id") == F.col("from_node_id")).select("proposal_id", "depth", F.lit("message").alias("ref_kind"), F.col("to_ref_id").alias("ref_id"))
     return at.select("proposal_id", "depth", F.lit("analysis_node").alias("ref_kind"), "ref_id").union(anchors).distinct()
+
+
+def retracted(nodes: DataFrame) -> DataFrame:
+    """(retracted_by_run, analyzer_id, n, first, last): what collections have retracted and an undo would bring back."""
+    return nodes.where("retracted_at is not null").groupBy("retracted_by_run", "analyzer_id").agg(F.count("*").alias("n"), F.min("retracted_at").alias("first"), F.max("retracted_at").alias("last"))
+
+
+def backfill(covered: DataFrame) -> DataFrame:
+    """(session_id, analyzer_id) still to be run, from :func:`coverage`."""
+    return covered.select("session_id", F.explode("missing").alias("analyzer_id"))
+
+
+def page(nodes: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """A page of nodes, newest first; filters belong before it, so a page is never cut short."""
+    return nodes.orderBy(F.desc("created_at"), "id").offset(offset).limit(limit)

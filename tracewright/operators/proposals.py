@@ -78,3 +78,27 @@ def reconcile(log: DataFrame, assertions: DataFrame) -> DataFrame:
     """(subject_key, verdict, only_in): entries that only the decision log or only the assertions hold."""
     a, b = log.select("subject_key", "verdict").distinct(), assertions.select("subject_key", "verdict").distinct()
     return a.join(b, ["subject_key", "verdict"], "left_anti").withColumn("only_in", F.lit("log")).union(b.join(a, ["subject_key", "verdict"], "left_anti").withColumn("only_in", F.lit("assertions")))
+
+
+def listed(proposals: DataFrame, status: str | None = None, severity: str | None = None, session: str | None = None, sources: DataFrame | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """The conjunction of the filters given, ranked; a page of it if ``limit`` is given."""
+    out = proposals
+    for name, value in (("status", status), ("severity", severity), ("session_id", session)):
+        if value is not None:
+            out = out.where(F.col(name) == value)
+    if sources is not None:
+        out = out.join(sources.select("session_id"), "session_id", "left_semi")
+    out = rank(out)
+    return out if limit is None else out.offset(offset).limit(limit)
+
+
+def remediate(proposals: DataFrame, keys_done: DataFrame) -> DataFrame:
+    """Applied proposals with how they were put into effect: (input_key, disposition, actual_change); others are left as they are."""
+    done = keys_done.groupBy("input_key").agg(F.max_by(F.struct("disposition", "actual_change"), "decided_at").alias("_d"))
+    applied = F.col("status") == "applied"
+    return proposals.join(done, "input_key", "left").withColumns({"disposition": F.when(applied, F.col("_d.disposition")), "actual_change": F.when(applied, F.col("_d.actual_change"))}).drop("_d")
+
+
+def from_decisions(decisions: DataFrame) -> DataFrame:
+    """A decision log as assertions, ready for :func:`upsert`."""
+    return decisions.select(F.lit("proposal").alias("subject_kind"), F.col("input_key").alias("subject_key"), "verdict", F.col("reason") if "reason" in decisions.columns else F.lit(None).cast("string").alias("reason"), F.col("decided_at").alias("asserted_at"))

@@ -228,3 +228,14 @@ def merged(hits: dict[str, DataFrame], limit: int = 20, cap: int = 500) -> DataF
         out = part if out is None else out.unionByName(part)
     total = out.count()
     return out.orderBy("score", "kind", "id").limit(limit).withColumn("omitted", F.lit(max(0, total - limit)))
+
+
+def extend(idx: DataFrame, docs: DataFrame, doc_id: str, fields: tuple[str, ...]) -> DataFrame:
+    """The postings of documents that the index lacks: what an incremental step appends."""
+    known = idx.select(F.col("doc_id").alias(doc_id)).distinct()
+    return index(docs.join(known, doc_id, "left_anti"), doc_id, fields)
+
+
+def without(idx: DataFrame, gone: DataFrame) -> DataFrame:
+    """The index less the documents in ``gone`` (doc_id)."""
+    return idx.join(gone.select("doc_id"), "doc_id", "left_anti")

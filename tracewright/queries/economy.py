@@ -12,7 +12,7 @@ from tracewright.views import with_views
 
 def _billed(spark, sf_dir):
     order = Window.partitionBy("session_id").orderBy("ts", "l_orderkey", "l_linenumber", "l_partkey", "id")
-    return views.usage(spark, sf_dir).withColumn("seq", F.row_number().over(order)).withColumn("role", F.when(F.col("seq") % 5 == 1, "user").otherwise("assistant"))
+    return views.usage(spark, sf_dir).withColumn("seq", F.row_number().over(order).cast("bigint")).withColumn("role", F.when(F.col("seq") % 5 == 1, "user").otherwise("assistant"))
 
 
 def cache_economy(spark, sf_dir):
