@@ -34,11 +34,11 @@ from tracewright.llm.common import held
 #: Moves kept of the determinised machine; beyond them it starts anew.
 MOVE_LIMIT = 400_000
 #: Encoded words kept in each of two generations; a word met again moves to the younger one.
-WORD_LIMIT = 300_000
+WORD_LIMIT = 200_000
 #: Places of the trie with so few tokens below are told apart by which of them are still open.
 FEW = 40
 #: Code points that a task holds in encoded form at once, beyond its input batch.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import cut, held
+from tracewright.llm.common import cut, held, small_side
 from tracewright.llm.components import connected
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -141,11 +141,22 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of each class, whole: that with the least id, and of repeated ids that with the least text digest."""
+    """One row of each class, whole: that with the least id, and of repeated ids that with the least text digest.
+
+    Rows are told by (id, text digest). Only the keys that go, and those that several rows share, meet
+    the table again; while they are few enough to broadcast, the texts aren't shuffled.
+    """
     digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
     classes = near_classes(df.withColumn("_digest", digest), id_col, text_col, radius, carry=("_digest",))
     # a class is named by its least id, or, where all its ids are null, by its least fingerprint
-    order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col("_digest").alias("d"))
-    chosen = classes.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_fp")).agg(F.min(order).alias("_best")).select(F.col("_best.id").alias("_id"), F.col("_best.d").alias("_d"))
-    rows = df.withColumn("_digest", digest).join(chosen.distinct(), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")), "left_semi")
-    return rows.dropDuplicates([id_col, "_digest"]).drop("_digest")
+    name = (F.col("component_id").alias("_c"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("_f"))
+    keys = cut(classes.groupBy(F.col(id_col).alias("_id"), F.col("_digest").alias("_d"), *name).agg(F.count("*").alias("_n")))
+    order = F.struct(F.col("_id").isNull(), F.col("_id").alias("id"), F.col("_d").alias("d"))
+    best = keys.groupBy("_c", "_f").agg(F.min(order).alias("_best"))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    chosen = same("_id", "_best.id") & same("_d", "_best.d")
+    judged = keys.join(best.select(F.col("_c").alias("_c2"), F.col("_f").alias("_f2"), "_best"), same("_c", "_c2") & same("_f", "_f2"))
+    marks = small_side(judged.where(~chosen | (F.col("_n") > 1)).select("_id", "_d", chosen.alias("_stays")))
+    rows = df.withColumn("_digest", digest).join(marks, same(id_col, "_id") & same("_digest", "_d"), "left")
+    out = [F.col(c) for c in df.columns]
+    return rows.where("_stays is null").select(*out).unionByName(rows.where("_stays").dropDuplicates([id_col, "_digest"]).select(*out))
