@@ -41,14 +41,13 @@ def fingerprint(text: str | None) -> int:
     words = (text or "").encode().lower().split()  # bytes: A-Z alone change, and the six ASCII spaces split
     if not words:
         return 0
-    shingles = [b" ".join(words)] if len(words) < SHINGLE else [b"%b %b %b" % t for t in zip(words, words[1:], words[2:])]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for k in range(0, len(hashes), 4096):
-        part = hashes[k : k + 4096]
-        ones += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    digest, ones, total = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64), max(1, len(words) - SHINGLE + 1)
+    for k in range(0, total, 4096):  # a long text's shingles never stand side by side
+        part = words[k : k + 4096 + SHINGLE - 1]
+        shingles = [b" ".join(part)] if len(words) < SHINGLE else [b"%b %b %b" % t for t in zip(part, part[1:], part[2:])]
+        hashes = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
+        ones += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
