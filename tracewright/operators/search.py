@@ -172,10 +172,16 @@ def _leaves(tree: object) -> list:
     return [tree]
 
 
-def search(idx: DataFrame, query: str, n_docs: int, mean_length: float) -> DataFrame:
+def lengths(docs: DataFrame, doc_id: str, fields: tuple[str, ...]) -> DataFrame:
+    """(doc_id, total): tokens of each document over all fields, without a row for each token."""
+    return docs.select(F.col(doc_id).alias("doc_id"), sum((F.size(tokens(F.col(f))) for f in fields), F.lit(0)).alias("total")).where("total > 0")
+
+
+def search(idx: DataFrame, query: str, n_docs: int, mean_length: float, sizes: DataFrame | None = None) -> DataFrame:
     """(doc_id, score, field, first): documents that match, BM25 score negated (lower is better), the field and place of their first hit.
 
-    ``n_docs`` and ``mean_length`` (tokens of a document over all fields) describe the whole index.
+    ``n_docs`` and ``mean_length`` (tokens of a document over all fields) describe the whole index;
+    ``sizes`` are its :func:`lengths`, read off the postings if not given.
     """
     tree = parse(query)
     found = {leaf: _hits(idx, leaf) for leaf in dict.fromkeys(_every(tree))}
@@ -188,7 +194,8 @@ def search(idx: DataFrame, query: str, n_docs: int, mean_length: float) -> DataF
             return a.join(b, "doc_id")
         return a.union(b).distinct() if node.op == "or" else a.join(b, "doc_id", "left_anti")
 
-    lengths = idx.groupBy("doc_id", "field").agg(F.max("dl").alias("dl")).groupBy("doc_id").agg(F.sum("dl").alias("total"))
+    if sizes is None:
+        sizes = _sizes(idx)
     scored = None
     for leaf in dict.fromkeys(_leaves(tree)):
         each = found[leaf].groupBy("doc_id").agg(F.sum("tf").alias("tf"), F.min(F.struct("field", "first")).alias("at"))
@@ -197,7 +204,7 @@ def search(idx: DataFrame, query: str, n_docs: int, mean_length: float) -> DataF
         part = each.withColumn("idf", F.lit(idf))
         scored = part if scored is None else scored.union(part)
     norm = K1 * (1 - B + B * F.col("total") / F.lit(mean_length))
-    ranked = scored.join(docs(tree), "doc_id", "left_semi").join(lengths, "doc_id").withColumn("part", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm))
+    ranked = scored.join(docs(tree), "doc_id", "left_semi").join(sizes, "doc_id").withColumn("part", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm))
     return ranked.groupBy("doc_id").agg(F.round(-F.sum("part"), 6).alias("score"), F.min("at").alias("at")).select("doc_id", "score", "at.field", "at.first")
 
 
@@ -205,10 +212,13 @@ def _every(tree: object) -> list:
     return _every(tree.left) + _every(tree.right) if isinstance(tree, Node) else [tree]
 
 
-def statistics(idx: DataFrame) -> tuple[int, float]:
-    """(documents, mean tokens of a document) of an index."""
-    per = idx.groupBy("doc_id", "field").agg(F.max("dl").alias("dl")).groupBy("doc_id").agg(F.sum("dl").alias("dl"))
-    n, mean = per.agg(F.count("*"), F.avg("dl")).first()
+def _sizes(idx: DataFrame) -> DataFrame:
+    return idx.groupBy("doc_id", "field").agg(F.max("dl").alias("dl")).groupBy("doc_id").agg(F.sum("dl").alias("total"))
+
+
+def statistics(idx: DataFrame | None = None, sizes: DataFrame | None = None) -> tuple[int, float]:
+    """(documents, mean tokens of a document) of an index, or of its :func:`lengths`."""
+    n, mean = (_sizes(idx) if sizes is None else sizes).agg(F.count("*"), F.avg("total")).first()
     return n, mean or 1.0
 
 

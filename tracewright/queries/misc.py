@@ -54,8 +54,8 @@ def search_merged(spark, sf_dir):
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     hits = {}
     for kind, frame, ident in (("document", docs, "doc_id"), ("benchmark", bench, "item_id")):
-        idx = search.index(frame, ident, ("text",))
-        hits[kind] = search.search(idx, "thth* OR license", *search.statistics(idx))
+        sizes = search.lengths(frame, ident, ("text",))
+        hits[kind] = search.search(search.index(frame, ident, ("text",)), "thth* OR license", *search.statistics(sizes=sizes), sizes)
     return search.merged(hits, limit=30)
 
 

@@ -12,8 +12,9 @@ from tracewright.views import table, with_views
 
 
 def _searched(spark, sf_dir, query):
-    idx = search.index(table(spark, sf_dir, "documents"), "doc_id", ("text",))
-    return search.search(idx, query, *search.statistics(idx))
+    docs = table(spark, sf_dir, "documents")
+    sizes = search.lengths(docs, "doc_id", ("text",))
+    return search.search(search.index(docs, "doc_id", ("text",)), query, *search.statistics(sizes=sizes), sizes)
 
 
 def search_words(spark, sf_dir):
