@@ -352,6 +352,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", decod
                 more = [pa.array([decoder.decode(r.tolist()) for r in rows], pa.string())] if decode_col else []
                 kept = [batch.column(k).slice(start, len(texts)) for k in range(len(names))]
                 yield pa.RecordBatch.from_arrays([*kept, ids, *more], names=out_names)
+            pa.default_memory_pool().release_unused()
 
     return df.select(*names, F.col(text_col).alias("_text")).mapInArrow(run, schema)
 

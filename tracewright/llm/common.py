@@ -6,6 +6,7 @@ import gc
 import tempfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,5 +58,6 @@ def held(owner: object, make: Callable[[], object]) -> object:
     if owner not in _HELD:
         _HELD.clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
         _HELD[owner] = make()
     return _HELD[owner]
