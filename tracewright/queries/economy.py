@@ -51,7 +51,9 @@ def request_segments(spark, sf_dir):
 def class_costs(spark, sf_dir):
     rows = _billed(spark, sf_dir)
     users = rows.where("role = 'user'")
-    classes = users.where("seq % 2 = 0").select(F.col("id").alias("user_message_id"), F.col("marker").alias("class")).union(users.where("seq % 3 = 0").select("id", F.concat(F.lit("  "), "model", F.lit(" :"))))
+    # urgent requests have a class less
+    first = users.select(F.col("id").alias("user_message_id"), F.when(F.col("marker") != "1-URGENT", F.col("marker")).otherwise("").alias("class"))
+    classes = first.union(users.select("id", F.concat(F.lit("  "), "model", F.lit(" :"))))
     return economy.class_costs(economy.request_segments(rows), classes)
 
 
@@ -126,7 +128,7 @@ SELECT *, turns_spanned >= 5 AND carry_avoided >= 20000 AS fired_too_late, rebui
     ),
     "request_segments": with_views(f"{_SEGMENTS} SELECT * FROM segs", "usage"),
     "class_costs": with_views(
-        f"""{_SEGMENTS}, cl AS (SELECT DISTINCT user_message_id, class FROM (SELECT id AS user_message_id, lower(marker) AS class FROM billed WHERE role = 'user' AND seq % 2 = 0 UNION ALL SELECT id, lower(model) || ' ' FROM billed WHERE role = 'user' AND seq % 3 = 0)),
+        f"""{_SEGMENTS}, cl AS (SELECT DISTINCT user_message_id, class FROM (SELECT id AS user_message_id, lower(marker) AS class FROM billed WHERE role = 'user' AND marker <> '1-URGENT' UNION ALL SELECT id, lower(model) || ' ' FROM billed WHERE role = 'user')),
 j AS (SELECT segs.*, class, count(*) OVER (PARTITION BY session_id, ordinal) AS k FROM segs LEFT JOIN cl ON segs.user_message_id = cl.user_message_id WHERE calls > 0),
 s AS (SELECT coalesce(class, 'unclassified') AS class, sum(mite / k) AS mite, count(*) AS requests FROM j GROUP BY 1) SELECT class, round(mite, 6) AS mite, requests, round(mite / sum(mite) OVER (), 6) AS share FROM s""",
         "usage",

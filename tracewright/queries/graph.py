@@ -89,7 +89,7 @@ def edge_validity(spark, sf_dir):
 
 def plan_units(spark, sf_dir):
     nodes = _nodes(spark, sf_dir)
-    units = nodes.where("id % 5 = 0").select("analyzer_id", F.concat(F.lit("1."), F.col("id") % 4).alias("version"), F.lit("c1").alias("config_fingerprint"), F.when(F.col("id") % 3 == 0, F.concat("source_set_hash", F.lit("x"))).otherwise(F.col("source_set_hash")).alias("source_set_hash"), F.when(F.col("id") % 2 == 0, F.col("input_key")).otherwise(F.concat("input_key", F.lit("y"))).alias("input_key"))
+    units = nodes.select("analyzer_id", F.concat(F.lit("1."), F.col("id") % 4).alias("version"), F.lit("c1").alias("config_fingerprint"), F.when(F.col("id") % 3 == 0, F.concat("source_set_hash", F.lit("x"))).otherwise(F.col("source_set_hash")).alias("source_set_hash"), F.when(F.col("id") % 2 == 0, F.col("input_key")).otherwise(F.concat("input_key", F.lit("y"))).alias("input_key"))
     return graph.classify(units, nodes).groupBy("status", F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))
 
 
@@ -103,7 +103,7 @@ def diff_runs(spark, sf_dir):
 def diff_summary(spark, sf_dir):
     nodes = graph.live(_nodes(spark, sf_dir))
     unit = ("session_id", "analyzer_id")
-    return graph.diff_summary(graph.diff(graph.latest(nodes.where("id % 2 = 0"), *unit), graph.latest(nodes.where("id % 3 = 0"), *unit), *unit))
+    return graph.diff_summary(graph.diff(graph.latest(nodes.where("node_kind = 'metric'"), *unit), graph.latest(nodes, *unit), *unit))
 
 
 def collect_garbage(spark, sf_dir):
@@ -125,7 +125,7 @@ def _decisions(spark, sf_dir):
 
 
 def proposal_ranking(spark, sf_dir):
-    return proposals.rank(_proposals(spark, sf_dir)).select("id", "tier", "validated_score").limit(50)
+    return proposals.rank(_proposals(spark, sf_dir)).select("id", "tier", "validated_score")
 
 
 def proposal_status_as_of(spark, sf_dir):
@@ -151,7 +151,7 @@ def muted_terms(spark, sf_dir):
 
 def reconcile(spark, sf_dir):
     rows = _asserted(spark, sf_dir)
-    return proposals.reconcile(rows.where("subject_key < 't2'"), rows.where("verdict = 'accepted'"))
+    return proposals.reconcile(rows.where(F.col("asserted_at") < F.lit("1994-01-01").cast("timestamp_ntz")), rows.where("verdict = 'accepted'"))
 
 
 QUERIES = {f.__name__: f for f in (node_stats, nodes_as_of, latest_nodes, unit_versions, property_counts, typed_filter, node_filter, identity, coverage, edge_integrity, edge_validity, plan_units, diff_runs, diff_summary, collect_garbage, proposal_ranking, proposal_status_as_of, replay_scores, assertions, muted_terms, reconcile)}
@@ -193,16 +193,16 @@ c AS (SELECT c_custkey::VARCHAR AS session_id, list_filter(['1-URGENT', '2-HIGH'
     "edge_integrity": f"""{_NODES}, f AS (SELECT to_ref_kind, 'source' AS fault FROM edges WHERE from_node_id NOT IN (SELECT id FROM live) UNION ALL SELECT to_ref_kind, 'target' FROM edges WHERE to_ref_kind = 'session' AND to_ref_id NOT IN (SELECT p_partkey::VARCHAR FROM part WHERE p_size > 5)
     UNION ALL SELECT to_ref_kind, 'target' FROM edges WHERE to_ref_kind = 'analysis_node' AND to_ref_id NOT IN (SELECT id FROM nodes)) SELECT to_ref_kind, fault, count(*) AS n FROM f GROUP BY 1, 2""",
     "edge_validity": f"{_NODES} SELECT edge_kind, to_ref_kind, count(*) AS n FROM edges WHERE edge_kind = 'produces' GROUP BY 1, 2",
-    "plan_units": f"""{_NODES}, u AS (SELECT analyzer_id, (id::BIGINT % 4)::INT AS minor, source_set_hash || CASE WHEN id::BIGINT % 3 = 0 THEN 'x' ELSE '' END AS source_set_hash, input_key || CASE WHEN id::BIGINT % 2 = 0 THEN '' ELSE 'y' END AS input_key FROM nodes WHERE id::BIGINT % 5 = 0),
+    "plan_units": f"""{_NODES}, u AS (SELECT analyzer_id, (id::BIGINT % 4)::INT AS minor, source_set_hash || CASE WHEN id::BIGINT % 3 = 0 THEN 'x' ELSE '' END AS source_set_hash, input_key || CASE WHEN id::BIGINT % 2 = 0 THEN '' ELSE 'y' END AS input_key FROM nodes),
 l AS (SELECT analyzer_id, source_set_hash, split_part(version, '.', 2)::INT AS v, config_fingerprint AS c FROM live WHERE node_kind <> 'error' QUALIFY row_number() OVER (PARTITION BY analyzer_id, source_set_hash ORDER BY created_at DESC, id DESC) = 1),
 j AS (SELECT CASE WHEN input_key IN (SELECT input_key FROM live WHERE node_kind <> 'error') THEN 'current' WHEN l.v IS NOT NULL THEN 'stale' ELSE 'missing' END AS status, concat_ws(',', CASE WHEN minor > l.v THEN 'minor' END, CASE WHEN l.c <> 'c1' THEN 'config' END) AS reasons FROM u LEFT JOIN l USING (analyzer_id, source_set_hash))
 SELECT status, CASE WHEN status = 'stale' THEN reasons END AS reasons, count(*) AS n FROM j GROUP BY 1, 2""",
     "diff_runs": f"""{_NODES} SELECT coalesce(a.session_id, b.session_id) AS session_id, coalesce(a.analyzer_id, b.analyzer_id) AS analyzer_id, {_CHANGE} AS change, CASE WHEN a.output_key <> b.output_key THEN concat_ws(',', CASE WHEN a.cust <> b.cust THEN 'cust' END, CASE WHEN a.status <> b.status THEN 'status' END) END AS fields
     FROM {_best(f"created_at <= '{MOMENT}'")} a FULL JOIN best b ON a.session_id = b.session_id AND a.analyzer_id = b.analyzer_id""",
-    "diff_summary": f"""{_NODES}, c AS (SELECT coalesce(a.analyzer_id, b.analyzer_id) AS analyzer_id, {_CHANGE} AS change FROM {_best("id::BIGINT % 2 = 0")} a FULL JOIN {_best("id::BIGINT % 3 = 0")} b ON a.session_id = b.session_id AND a.analyzer_id = b.analyzer_id)
+    "diff_summary": f"""{_NODES}, c AS (SELECT coalesce(a.analyzer_id, b.analyzer_id) AS analyzer_id, {_CHANGE} AS change FROM {_best("node_kind = 'metric'")} a FULL JOIN best b ON a.session_id = b.session_id AND a.analyzer_id = b.analyzer_id)
 SELECT analyzer_id, count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (change = 'changed') AS changed, count(*) FILTER (change = 'same') AS same FROM c GROUP BY 1""",
     "collect_garbage": f"{_NODES} SELECT analyzer_id, count(*) AS n FROM live WHERE NOT (analyzer_id = '5-LOW' AND created_at >= '{MOMENT}') GROUP BY 1",
-    "proposal_ranking": f"{_PROPOSALS} SELECT id, tier, validated_score FROM p ORDER BY tier DESC, coalesce(cost_usd, -1) DESC, validated_score DESC NULLS LAST, created_at DESC, id LIMIT 50",
+    "proposal_ranking": f"{_PROPOSALS} SELECT id, tier, validated_score FROM p ORDER BY tier DESC, coalesce(cost_usd, -1) DESC, validated_score DESC NULLS LAST, created_at DESC, id",
     "proposal_status_as_of": f"""{_PROPOSALS}, l AS (SELECT input_key, max_by(verdict, (decided_at, id)) AS v FROM d WHERE decided_at <= '1996-06-01' GROUP BY 1)
 SELECT input_key, CASE WHEN v = 'rejected' THEN 'rejected' WHEN v IS NOT NULL THEN 'applied' ELSE 'open' END AS status, count(*) AS n FROM p LEFT JOIN l USING (input_key) WHERE created_at <= '1996-06-01' GROUP BY 1, 2""",
     "replay_scores": """WITH r AS (SELECT l_partkey AS proposal_id, CASE WHEN l_linenumber <> 3 THEN l_discount END AS b, l_tax AS w FROM lineitem),
@@ -210,6 +210,6 @@ s AS (SELECT proposal_id, count(b) AS replayed, coalesce(sum(b), 0) AS base, coa
 SELECT *, CASE WHEN validated_score IS NULL THEN 'unvalidated' WHEN validated_score >= 0.5 THEN 'supported' ELSE 'unsupported' END AS validation_status FROM v""",
     "assertions": f"{_ASSERTED} SELECT {_H.format(chr(39) + 'term|' + chr(39) + ' || subject_key || ' + chr(39) + '|' + chr(39) + ' || verdict')} AS id, * FROM s",
     "muted_terms": f"{_ASSERTED} SELECT subject_key AS term FROM s WHERE is_active AND verdict = 'rejected'",
-    "reconcile": f"""{_ASSERTED}, a AS (SELECT DISTINCT subject_key, verdict FROM x WHERE subject_key < 't2'), b AS (SELECT DISTINCT subject_key, verdict FROM x WHERE verdict = 'accepted')
+    "reconcile": f"""{_ASSERTED}, a AS (SELECT DISTINCT subject_key, verdict FROM x WHERE asserted_at < '1994-01-01'), b AS (SELECT DISTINCT subject_key, verdict FROM x WHERE verdict = 'accepted')
 SELECT *, 'log' AS only_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'assertions' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
 }

@@ -37,7 +37,7 @@ def search_snippets(spark, sf_dir):
 
 
 def lexicon_terms(spark, sf_dir):
-    return lexicon.nominate(lexicon.term_counts(views.messages(spark, sf_dir)), 50).select("session_id", "term", "n", "rank", "distinct_terms", "total_words")
+    return lexicon.nominate(lexicon.term_counts(views.messages(spark, sf_dir))).select("session_id", "term", "n", "rank", "distinct_terms", "total_words")
 
 
 def _lexicon(spark, sf_dir):
@@ -47,7 +47,7 @@ def _lexicon(spark, sf_dir):
 
 
 def turn_frustration(spark, sf_dir):
-    muted = table(spark, sf_dir, "benchmark").where("item_id < 3").select(F.explode(lexicon.words("text")).alias("term")).distinct()
+    muted = _lexicon(spark, sf_dir).where("length(term) = 4").select("term")
     found = lexicon.frustration(turns.turn_pairs(views.messages(spark, sf_dir)), _lexicon(spark, sf_dir), muted)
     return found.groupBy("session_id", "turn_idx").agg(F.count("*").alias("signals"), F.round(F.sum("weight"), 6).alias("weight"))
 
@@ -58,7 +58,7 @@ def unjudged_terms(spark, sf_dir):
 
 def enrichment_selection(spark, sf_dir):
     scored = turns.friction(turns.turn_pairs(views.messages(spark, sf_dir)))
-    signals = scored.where("length(user_text) % 3 = 0").select("session_id", "turn_idx", F.lit(0.5).alias("weight"))
+    signals = scored.select("session_id", "turn_idx", (F.length("user_text") % 3 / 4).alias("weight"))
     return lexicon.select_for_enrichment(scored, signals).select("session_id", "turn_idx", "rank_score", "rank")
 
 
@@ -132,7 +132,7 @@ def _pick(values: tuple, by: str) -> str:
 
 ORACLE_SQL = {
     "enrichment_selection": with_views(
-        f"""{FRICTION}, s AS (SELECT *, round(friction_score + CASE WHEN length(user_text) % 3 = 0 THEN 0.5 ELSE 0 END, 6)::DOUBLE AS rank_score FROM fr),
+        f"""{FRICTION}, s AS (SELECT *, round(friction_score + length(user_text) % 3 / 4, 6)::DOUBLE AS rank_score FROM fr),
 k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY rank_score DESC, turn_idx) AS rank, count(*) OVER (PARTITION BY session_id) AS n FROM s) SELECT session_id, turn_idx, rank_score, rank::INT AS rank FROM k WHERE rank <= least(40, greatest(1, round(0.2 * n)))""",
         "messages",
     ),
