@@ -34,6 +34,30 @@ def test_near_dedup(spark, folder):
     assert kept[100] == 1 and not any(kept[100 + k] for k in range(1, 12)) and all(kept[k] == 1 for k in range(60))
 
 
+def test_near_dedup_keeps_one_of_texts_at_similarity(spark, folder):
+    import random
+
+    from edges import components
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    grams = lambda ws: {tuple(ws[k : k + 5]) for k in range(len(ws) - 4)} or {tuple(ws)}
+    texts = []
+    for n, changes in [(100, 1), (100, 2), (100, 3), (300, 3), (300, 5), (300, 8), (1000, 10), (1000, 25)] * 6:
+        body = [word() for _ in range(n)]
+        texts.append(body)
+        for _ in range(3):
+            copy = list(body)
+            for at in r.sample(range(n), changes):
+                copy[at] = word()
+            texts.append(copy)
+    sets = [grams(t) for t in texts]
+    label = components(range(len(texts)), lambda a, b: a // 4 == b // 4 and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)
+    docs = spark.createDataFrame([(k, " ".join(t), "en", "src0", len(" ".join(t))) for k, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, folder).collect())
+    assert kept == sorted(set(label.values())) and len(kept) < len(texts)
+
+
 def test_run(spark, folder):
     import tiktoken
 

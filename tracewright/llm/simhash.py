@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import cut, held, small_side
 from tracewright.llm.components import connected
+from tracewright.llm.similar import similar_classes
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Nodes of a tile: own, and those they are compared with.
@@ -139,14 +140,20 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.join(classes, "fp")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int | None = None, similarity: float | None = None) -> DataFrame:
     """One row of each class, whole: that with the least id, and of repeated ids that with the least text digest.
 
+    With ``shingle`` and ``similarity`` the classes are those of exact similarity of word shingles, else those of fingerprints within ``radius``.
+
     Rows are told by (id, text digest). Only the keys that go, and those that several rows share, meet
     the table again; while they are few enough to broadcast, the texts aren't shuffled.
     """
     digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    classes = near_classes(df.withColumn("_digest", digest), id_col, text_col, radius, carry=("_digest",))
+    marked = df.withColumn("_digest", digest)
+    if similarity is None:
+        classes = near_classes(marked, id_col, text_col, radius, carry=("_digest",))
+    else:
+        classes = similar_classes(marked, id_col, text_col, shingle, similarity, carry=("_digest",))
     # a class is named by its least id, or, where all its ids are null, by its least fingerprint
     name = (F.col("component_id").alias("_c"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("_f"))
     keys = cut(classes.groupBy(F.col(id_col).alias("_id"), F.col("_digest").alias("_d"), *name).agg(F.count("*").alias("_n")))
