@@ -120,6 +120,14 @@ def test_license_accuracy():
     assert right >= 0.9 * len(held) and wrong <= 0.005 * len(held) and missed <= 0.03 * len(held)
 
 
+def test_license_identifiers_and_versions():
+    model = licenses.train()
+    ids = {"EPL-2.0": ["unknown"], "GPL-2.0-only": ["gpl"], "BSD-2-Clause": ["bsd"], "LGPL-3.0": ["lgpl"], "AGPL-3.0-or-later": ["agpl"], "MIT-0": ["unknown"], "MIT OR Apache-2.0": ["mit", "apache"]}
+    for x, want in ids.items():
+        assert [s[0] for s in licenses.scan(f"// SPDX-License-Identifier: {x}", model)[1]] == want
+    assert [s[0] for s in licenses.scan("Licensed under CC BY 3.0.", model)[1]] == ["cc-by"]
+
+
 def test_license_query(spark, tmp_path):
     frame(spark).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in queries.op10_licenses(spark, str(tmp_path)).collect()}

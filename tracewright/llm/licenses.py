@@ -7,8 +7,10 @@ also talks of licences, versions and rights. Its probabilities are calibrated by
 temperature on held-out variations; a paragraph that is not none but whose best family stays
 below the calibrated threshold is of an unknown licence. A predicted family is
 confirmed when a notice of the family is found in the paragraph: at least
-``CONFIRM`` of the notice's word pairs; otherwise it becomes unknown too. An unknown licence
+``CONFIRM`` of the notice's word pairs, where all version numbers are alike; otherwise it becomes unknown too. What
+the classifier itself calls unknown stays so; a family that is not confirmed
 must share ``PARTLY`` of the word pairs of some notice, else the paragraph is none.
+SPDX identifiers name their families themselves, other identifiers are unknown.
 """
 
 from __future__ import annotations
@@ -29,6 +31,11 @@ CONFIRM = 0.8
 PARTLY = 0.4
 WORDS = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
+VERSION = re.compile(r"v?[0-9]+(?:\.[0-9]+)*")
+SPDX = "spdx-license-identifier"
+#: Families by the start of an SPDX identifier, longer ones first.
+SPDX_FAMILIES = (("cc-by-nc", "cc-by-nc"), ("cc-by-sa", "cc-by-sa"), ("unlicense", "unlicense"), ("apache-", "apache"), ("cc-by-", "cc-by"), ("cc0-", "cc0"), ("agpl-", "agpl"), ("lgpl-", "lgpl"), ("gpl-", "gpl"), ("bsd-", "bsd"), ("mpl-", "mpl"), ("mit", "mit"), ("isc", "isc"))
+
 #: Usual notices by licence family.
 NOTICES = {
     "agpl": (
@@ -262,11 +269,32 @@ def train(seed: int = 42, each: int = 16) -> Classifier:
 @lru_cache(maxsize=1)
 def _templates() -> dict[str, list[set]]:
     grams = lambda ws: set(zip(ws, ws[1:])) or {(w,) for w in ws}
-    return {family: [grams(words(n)) for n in notices] for family, notices in NOTICES.items()}
+    return {family: [grams(_plain(words(n))) for n in notices] for family, notices in NOTICES.items()}
+
+
+def _plain(paragraph: list[str]) -> list[str]:
+    return ["#" if VERSION.fullmatch(w) else w for w in paragraph]
+
+
+def identified(paragraph: list[str]) -> list[str]:
+    """The families of a paragraph's SPDX expression, unknown for identifiers of none."""
+    if SPDX not in paragraph:
+        return []
+    ids, at = [], paragraph.index(SPDX) + 1
+    while at < len(paragraph):
+        ids.append(paragraph[at])
+        at += 1
+        if at < len(paragraph) and paragraph[at] == "with":
+            at += 2
+        if at >= len(paragraph) or paragraph[at] not in ("or", "and"):
+            break
+        at += 1
+    return list(dict.fromkeys(next((f for start, f in SPDX_FAMILIES if (x == start if start in ("mit", "isc", "unlicense") else x.startswith(start))), UNKNOWN) for x in ids))
 
 
 def likeness(paragraph: list[str], families: tuple[str, ...]) -> float:
     """The largest share of the word pairs of a notice of the families that the paragraph holds."""
+    paragraph = _plain(paragraph)
     have = set(zip(paragraph, paragraph[1:])) | {(w,) for w in paragraph}
     return max(len(t & have) / len(t) for family in families for t in _templates()[family])
 
@@ -287,11 +315,17 @@ def scan(text: str | None, model: Classifier) -> tuple[int, list[tuple[str, int,
         return 0, spans
     p = model.probabilities(np.array(ids, dtype=np.int64), np.array(starts, dtype=np.int64))
     none = len(model.families) - 2
-    for k in np.flatnonzero(p[:, none] < 0.5):
+    for k in range(len(starts)):
+        named = identified(which[k])
+        if named:
+            spans += [(family, *places[k], round(float(p[k, model.families.index(family)]), 4)) for family in named]
+            continue
+        if p[k, none] >= 0.5:
+            continue
         best = int(p[k, :none].argmax())
         family, sure = model.families[best], float(p[k, best])
         if sure < model.threshold or likeness(which[k], (family,)) < CONFIRM:
-            if likeness(which[k], tuple(NOTICES)) < PARTLY:
+            if p[k].argmax() != none + 1 and likeness(which[k], tuple(NOTICES)) < PARTLY:
                 continue
             family = UNKNOWN
         spans.append((family, *places[k], round(sure, 4)))
