@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+import math
+import re
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,10 +20,12 @@ BROADCAST_ROWS = 200_000
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Take the cluster's checkpoint folder; make a local one only if none is set."""
+    """Take the cluster's checkpoint folder; a local master alone may make one of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
@@ -37,6 +41,27 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(stored) if stored.count() <= limit else stored
 
 
+def apart(df: DataFrame, **more: Column) -> DataFrame:
+    """The columns of ``df`` named by their places (in_0, in_1, ...), and ``more``: no name of an operator can clash with one of ``df``."""
+    return df.select("*", *more.values()).toDF(*[f"in_{k}" for k in range(len(df.columns))], *more)
+
+
+def back(columns: list[str], without: Iterable[str] = ()) -> list[Column]:
+    """What :func:`apart` renamed, under its names again, less the columns that an operator adds (whatever their case)."""
+    added = {c.lower() for c in without}
+    return [F.col(f"in_{k}").alias(c) for k, c in enumerate(columns) if c.lower() not in added]
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def ddl(df: DataFrame, name: str) -> str:
+    """A column's type as text, for the schema of a Python function."""
+    return next(f.dataType.simpleString() for f in df.schema if f.name.lower() == name.lower())
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -46,6 +71,15 @@ def hex_bucket(digest: Column, digits: int) -> Column:
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("int")
 
 
+#: Rows that a digest bucket is meant to hold.
+BUCKET_ROWS = 1_000_000
+
+
+def bucket_digits(rows: int) -> int:
+    """Hex digits (3 at least) that cut ``rows`` rows into buckets of some ``BUCKET_ROWS``."""
+    return max(3, math.ceil(math.log(max(rows, 1) / BUCKET_ROWS, 16)))
+
+
 _HELD: dict[object, object] = {}
 
 

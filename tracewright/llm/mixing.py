@@ -10,9 +10,10 @@ sorted by capacity per weight, so no loop runs on the driver.
 
 A leaf with budget ``b`` and ``t`` tokens yields ``b // t`` whole epochs and the
 prefix of the next epoch whose cumulative tokens fit the rest. The order within
-an epoch is that of ``md5(seed:epoch:id)``. Prefixes come from sums over 16**3
-digest buckets; only the bucket at the boundary is sorted, so a leaf with a
-third of all rows is not gathered into one task.
+an epoch is that of ``md5(seed:epoch:id:md5(text))``. Prefixes come from sums over
+digest buckets, as many as hold some ``BUCKET_ROWS`` rows each; only the bucket at the
+boundary is sorted, so neither a leaf with a third of all rows nor an id that many
+rows share is gathered into one task.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import cut, hex_bucket, small_side, word_count
+from tracewright.llm.common import apart, back, bucket_digits, cut, hex_bucket, small_side, word_count
 
-BUCKET_DIGITS = 3
 LEVELS = ("domain", "language", "origin")
+ADDED = ("mix_tokens", "mix_epoch")
 
 
 def _weight(weights: dict[str, int], *path: str) -> Column:
@@ -91,27 +92,26 @@ def mix_to_weights(
     Null domain, language or source make a branch named "". A null or empty text
     has 0 tokens and comes with the whole epochs of its leaf and with a prefix that
     reaches it; a leaf without tokens gives no rows. Repeated rows are rows of their
-    own. Input columns named like the added ones are replaced.
+    own; those equal in id and text stand side by side in the order. An empty table gives no rows.
+    Texts are counted whole. Input columns named like the added ones are replaced, all others come back as they are.
     """
     name = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    kept = [c for c in df.columns if c not in {"mix_tokens", "mix_epoch"}]
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     marked = {"_d": name(domain), "_l": name(language), "_s": name(origin)}
-    named = [F.col(k).alias(v) for k, v in zip(marked, LEVELS)]
-    slim = cut(df.select(key.alias("_id"), word_count(F.col(text_col)).alias("_tokens"), *[c.alias(k) for k, c in marked.items()]))
-    leaves = cut(slim.groupBy(*named).agg(F.sum("_tokens").alias("tokens")))
+    rows = apart(df, _id=key, _tokens=word_count(F.col(text_col)), **marked)
+    slim = cut(rows.select("_id", "_tokens", *marked))
+    digits = bucket_digits(slim.count())
+    leaves = cut(slim.groupBy(*[F.col(k).alias(v) for k, v in zip(marked, LEVELS)]).agg(F.sum("_tokens").alias("tokens")))
     asked = small_side(
         leaf_budgets(leaves, weights, max_epochs, budget_percent)
         .where("tokens > 0")
         .select(*[F.col(v).alias(k + "x") for k, v in zip(marked, LEVELS)], F.expr("_alloc div tokens").cast("int").alias("_full"), F.expr("_alloc % tokens").alias("_rest"))
     )
     on = [F.col(k) == F.col(k + "x") for k in marked]
-
-    def digest(ident: Column) -> Column:
-        return F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("_full").cast("string"), ident))
+    digest = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("_full").cast("string"), F.col("_id")))
 
     # tokens of each digest bucket of the epoch that is cut, then the bucket that holds the cut
-    sums = slim.join(asked, on).groupBy("_dx", "_lx", "_sx", "_rest", hex_bucket(digest(F.col("_id")), BUCKET_DIGITS).alias("_bucket")).agg(F.sum("_tokens").alias("_n"))
+    sums = slim.join(asked, on).groupBy("_dx", "_lx", "_sx", "_rest", hex_bucket(digest, digits).alias("_bucket")).agg(F.sum("_tokens").alias("_n"))
     run = Window.partitionBy("_dx", "_lx", "_sx").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     cuts = (
         sums.withColumn("_base", F.coalesce(F.sum("_n").over(run), F.lit(0)))
@@ -119,10 +119,10 @@ def mix_to_weights(
         .select(*[F.col(k + "x").alias(k + "y") for k in marked], F.col("_bucket").alias("_cut"), F.col("_base").alias("_base"))
     )
     bounds = small_side(asked.join(cuts, [F.col(k + "x") == F.col(k + "y") for k in marked], "left").drop(*[k + "y" for k in marked]))
-    rows = df.select(*kept).withColumns(marked | {"_id": key}).join(bounds, on).withColumn("_tokens", word_count(F.col(text_col))).withColumn("_digest", digest(F.col("_id")))
-    rows = rows.withColumn("_bucket", hex_bucket(F.col("_digest"), BUCKET_DIGITS))
+    rows = rows.join(bounds, on).withColumn("_digest", digest)
+    rows = rows.withColumn("_bucket", hex_bucket(F.col("_digest"), digits))
     whole = rows.withColumn("_epoch", F.explode(F.filter(F.sequence(F.lit(0), F.col("_full")), lambda e: (e < F.col("_full")) | (F.col("_bucket") < F.col("_cut")))))
-    upto = Window.partitionBy("_dx", "_lx", "_sx").orderBy("_digest", "_tokens", F.md5(F.coalesce(F.col(text_col), F.lit("")))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy("_dx", "_lx", "_sx").orderBy("_digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = rows.where("_bucket = _cut").withColumn("_sum", F.sum("_tokens").over(upto)).where("_base + _sum <= _rest").withColumn("_epoch", F.col("_full"))
-    out = [*[F.col(c) for c in kept], *[c.alias(f"mix_{n}") for n, c in (("tokens", F.col("_tokens")), ("epoch", F.col("_epoch").cast("int")))]]
-    return whole.select(*out).unionByName(edge.select(*out))
+    out = [*back(df.columns, ADDED), F.col("_tokens").alias("mix_tokens"), F.col("_epoch").cast("int").alias("mix_epoch")]
+    return whole.select(*out).union(edge.select(*out))
