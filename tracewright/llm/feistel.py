@@ -1,30 +1,32 @@
 """Sharding by a keyed permutation of global row numbers.
 
-Rows get gapless global numbers in the order of ``md5(id)``. A generalised
+Rows get gapless global numbers in the order of ``md5(id:checksum:size)``. A generalised
 Feistel network over ``[0, a) x [0, b)`` (``a * b >= n``, fewer than ``a``
 spare points) permutes them; a number that lands on a spare point walks on
 until it is back in range. ``shard = p % shards`` and ``slot = p // shards``,
 so counts differ by at most one and any process that knows ``(n, shards,
 seed)`` can compute the place of a row without the data (:func:`locate`).
 
-The numbering never sorts the table in one task: rows fall into 16**3 digest
-buckets, bucket counts (a bounded table) give the offsets, and a window
-numbers the rows inside each bucket.
+The numbering never sorts the table in one task: rows fall into digest
+buckets of some ``BUCKET_ROWS`` rows, bucket counts (a bounded table) give the offsets, and a window
+numbers the rows inside each bucket. As the digest covers the text's checksum, an id that many rows
+share is spread over the buckets too.
 """
 
 from __future__ import annotations
 
 import math
 import random
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import cut, hex_bucket
+from tracewright.llm.common import back, bucket_digits, cut, ddl, hex_bucket, quoted
 
 ROUNDS = 6
 PRIME = (1 << 31) - 1
-BUCKET_DIGITS = 3
+ADDED = ("size", "text_crc32", "shard", "slot")
 #: Steps of a walk that are tried; a longer one raises an error (chance below n**-32).
 MAX_WALK = 64
 
@@ -92,31 +94,31 @@ def feistel_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Every row of ``df`` with its shard and slot.
 
     Returns ``id_col``, size (UTF-8 bytes plus 16), text_crc32, shard, slot and
-    the columns named in ``carry``. Null text counts as empty, a null id is
-    numbered like the text "null", repeated rows each get a slot of their own
-    (rows equal in id, size and checksum are interchangeable), an empty table
-    gives no rows; other columns are ignored.
+    the columns named in ``carry`` (less those named like an added one). Texts are taken whole, a null
+    text counts as empty, a null id is numbered like the text "null". Repeated rows each get a slot of their own:
+    rows equal in id, size and checksum stand in the order of a hash of what is carried, and rows equal in that too
+    are interchangeable. An empty table gives no rows; other columns are ignored.
     """
+    names = list(dict.fromkeys((id_col, *(c for c in carry if c.lower() not in ADDED))))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
-    bucket = hex_bucket(digest, BUCKET_DIGITS)
-    counts = cut(df.select(bucket.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    size, crc = (F.octet_length(text) + 16).cast("long"), F.crc32(text.cast("binary")).cast("long")
+    key = F.concat_ws(":", F.coalesce(quoted(id_col).cast("string"), F.lit("null")), crc.cast("string"), size.cast("string"))
+    hashable = [quoted(c) for c in names if not re.search("map<|variant", ddl(df, c))]
+    total = df.count()
+    digits = bucket_digits(total)
+    rows = df.select(*[quoted(c) for c in names], size.alias("_size"), crc.alias("_crc"), F.unhex(F.md5(key)).alias("_digest"), hex_bucket(F.md5(key), digits).alias("_in"), F.xxhash64(*hashable).alias("_same"))
+    rows = rows.toDF(*[f"in_{k}" for k in range(len(names))], "_size", "_crc", "_digest", "_in", "_same")
+    if text_col.lower() not in {c.lower() for c in names}:
+        rows = cut(rows)  # some bytes a row, so that texts are read once
+    counts = cut(rows.groupBy(F.col("_in").alias("bucket")).agg(F.count("*").alias("n")))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("bucket").alias("_bucket"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_in").orderBy("_digest", "_crc", "_size")
-    numbered = df.select(
-        *[F.col(c) for c in dict.fromkeys((id_col, *carry))],
-        (F.octet_length(text) + 16).cast("long").alias("_size"),
-        F.crc32(text.cast("binary")).cast("long").alias("_crc"),
-        F.unhex(digest).alias("_digest"),
-        bucket.alias("_in"),
-    ).withColumn("_row", F.row_number().over(inside))
-    # at most 16**3 offsets: a proven bound
-    placed = numbered.join(F.broadcast(offsets), F.col("_in") == F.col("_bucket"))
+    numbered = rows.withColumn("_row", F.row_number().over(Window.partitionBy("_in").orderBy("_digest", "_same")))
+    # 16**digits offsets at most, one for a million rows: a proven bound, and beyond 16**4 of them joined by shuffling
+    placed = numbered.join(F.broadcast(offsets) if digits <= 4 else offsets, F.col("_in") == F.col("_bucket"))
     place = permuted(F.col("_offset") + F.col("_row") - 1, max(total, 1), seed)
     return placed.withColumn("_place", place).select(
-        *[F.col(c) for c in dict.fromkeys((id_col, *carry))],
+        *back(names),
         F.col("_size").alias("size"),
         F.col("_crc").alias("text_crc32"),
         (F.col("_place") % shards).cast("int").alias("shard"),
@@ -125,8 +127,7 @@ def feistel_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", shards: int = 40, seed: int = 42) -> None:
-    """Write every row with its shard and slot under ``path/shard=K``, in slot order within files."""
-    names = tuple(c for c in df.columns if c not in {"size", "text_crc32", "shard", "slot"})
-    out = feistel_shards(df, id_col, text_col, shards, seed, carry=names)
+    """Write every row with its shard and slot under ``path/shard=K``, in slot order within files. Input columns named like the added ones are replaced."""
+    out = feistel_shards(df, id_col, text_col, shards, seed, carry=tuple(df.columns))
     files = F.floor(F.col("slot") / 100_000)
     out.repartition("shard", files).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
