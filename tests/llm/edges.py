@@ -3,7 +3,7 @@
 import hashlib
 import random
 
-KINDS = "doc_id bigint, text string, lang string, source string, n_chars bigint, slot string, shard int, fp string, kept string, ids string, _text string"
+KINDS = "doc_id bigint, text string, lang string, source string, n_chars bigint, slot string, shard int, fp string, kept string, ids string, _text string, _ID string, _digest string, _host string, _size string, _tokens string, _on string, in_0 string, `a.b` string, component_id string, mix_epoch string"
 
 LINE = "Subscribe to our newsletter for more news today"
 
@@ -25,7 +25,7 @@ def rows(seed=0):
     out.append([307, "token = \"" + "0f" * 20 + "\" and AKIA" + "A1" * 8 + " ghp_" + "aB3" * 12 + " x", "en", "src4"])
     out.append([308, "Released under the MIT License.\n" + prose(12) + "\nLicensed under the Apache License, Version 2.0.", "en", "src4"])
     out.append([309, " ".join(["again and again it goes"] * 10), "en", "src4"])
-    return [tuple([*x, len(x[1]) if x[1] is not None else None, "a", 7, "b", "c", "d", "e"]) for x in out]
+    return [tuple([*x, len(x[1]) if x[1] is not None else None, "a", 7, "b", "c", "d", "e", *"fghijklmno"[: len(KINDS.split(",")) - 11]]) for x in out]
 
 
 def frame(spark, seed=0):
@@ -36,6 +36,16 @@ def empty(spark):
     return spark.createDataFrame([], KINDS)
 
 
+def strangers(df):
+    """The columns of ``df`` that no operator has to do with, for each row."""
+    names = [c for c in df.columns if c in EXTRA]
+    return [dict(zip(names, r)) for r in df.select(*[f"`{c}`" for c in names]).collect()]
+
+
+#: Extra columns of :func:`frame` with their value in every row; some have the names of operators' own or added columns.
+EXTRA = {"slot": "a", "shard": 7, "fp": "b", "kept": "c", "ids": "d", "_text": "e", "_ID": "f", "_digest": "g", "_host": "h", "_size": "i", "_tokens": "j", "_on": "k", "in_0": "l", "a.b": "m", "component_id": "n", "mix_epoch": "o"}
+
+
 def words(text):
     out, now = [], ""
     for c in text or "":

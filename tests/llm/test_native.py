@@ -2,7 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
-from edges import LINE, empty, frame, rows, words
+from edges import EXTRA, LINE, empty, frame, rows, strangers, words
 from pyspark.sql import functions as F
 
 from tracewright.llm import feistel, line_dedup, mixing
@@ -37,11 +37,22 @@ def test_shards_are_computable_and_stable(spark):
 
     df = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     got = {r.doc_id: (r.shard, r.slot) for r in feistel.feistel_shards(df, shards=40).collect()}
-    order = sorted(range(500), key=lambda k: hashlib.md5(str(k).encode()).hexdigest())
+    order = sorted(range(500), key=lambda k: hashlib.md5(f"{k}:{zlib.crc32(b'x')}:17".encode()).hexdigest())
     assert got == {d: feistel.locate(k, 500) for k, d in enumerate(order)}
     assert got == {r.doc_id: (r.shard, r.slot) for r in feistel.feistel_shards(df.repartition(9), shards=40).collect()}
 
 
+def test_shards_carry_any_column(spark):
+    out = feistel.feistel_shards(frame(spark), shards=7, carry=tuple(frame(spark).columns))
+    assert out.columns == ["doc_id", *(c for c in frame(spark).columns if c not in ("doc_id", "slot", "shard")), "size", "text_crc32", "shard", "slot"]
+    left = {k: v for k, v in EXTRA.items() if k not in ("slot", "shard")}
+    assert all({**x, "slot": 0, "shard": 0} == {**left, "slot": 0, "shard": 0} for x in strangers(out))
+    # rows equal in id, size and checksum keep their places however the table is dealt
+    df = spark.range(60).select(F.lit(1).alias("doc_id"), F.lit("x").alias("text"), F.col("id").alias("more"))
+    place = lambda d: {r.more: (r.shard, r.slot) for r in feistel.feistel_shards(d, carry=("more",)).collect()}
+    assert place(df) == place(df.repartition(7))
+
+
 def test_shards_empty_and_single(spark):
     assert feistel.feistel_shards(empty(spark)).count() == 0
     one = feistel.feistel_shards(frame(spark).where("doc_id = 304")).collect()
@@ -57,34 +68,42 @@ def test_written_shards(spark, tmp_path):
 # --- line dedup ---------------------------------------------------------------
 
 
-def python_line_dedup(data, ratio, least):
-    pages, count = Counter(), Counter()
-    for host, text in {(r[3] or "", r[1]) for r in data}:
-        pages[host] += 1
-        for line in set(text.split("\n")) if text is not None else ():
-            count[host, line] += bool(words(line))
+def python_line_dedup(data, ratio, least=1, one_per_text=False):
+    """Straight from the definition: for each line of a page, the pages of its host that hold it over all pages of the host."""
+    sites = defaultdict(list)
+    for r in data:
+        sites[r[3] or ""].append(r[1])
     out = []
     for r in data:
-        if r[1] is None:
-            out.append((r[0], None, 0, 0))
-            continue
-        lines = r[1].split("\n")
-        stay = [x for x in lines if not (count[r[3] or "", x] >= least and count[r[3] or "", x] / pages[r[3] or ""] > ratio)]
-        out.append((r[0], "\n".join(stay), len(lines), len(lines) - len(stay)))
+        pages = sites[r[3] or ""]
+        pages = list(set(pages)) if one_per_text else pages
+        lines = [] if r[1] is None else r[1].split("\n")
+        stay = []
+        for x in lines:
+            holding = sum(p is not None and x in p.split("\n") for p in pages)
+            if not words(x) or holding < least or holding / len(pages) <= ratio:
+                stay.append(x)
+        out.append((r[0], None if r[1] is None else "\n".join(stay), len(lines), len(lines) - len(stay)))
     return Counter(out)
 
 
 @pytest.mark.parametrize("broadcast_rows", [200_000, 0])
-@pytest.mark.parametrize("ratio, least", [(0.3, 5), (0.0, 1), (0.05, 2)])
-def test_line_dedup(spark, ratio, least, broadcast_rows):
-    got = line_dedup.drop_site_boilerplate(frame(spark), max_ratio=ratio, min_pages=least, broadcast_rows=broadcast_rows)
-    assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()) == python_line_dedup(rows(), ratio, least)
-    assert got.columns == [*frame(spark).columns, "n_lines", "n_dropped"]
+@pytest.mark.parametrize("ratio, least, once", [(0.3, 1, False), (0.0, 2, False), (0.05, 1, False), (0.05, 5, True), (0.1, 2, True)])
+def test_line_dedup(spark, ratio, least, once, broadcast_rows):
+    data = [r for r in rows() if r[0] != 305]
+    got = line_dedup.drop_site_boilerplate(frame(spark).where("doc_id is null or doc_id <> 305"), max_ratio=ratio, min_pages=least, one_per_text=once, broadcast_rows=broadcast_rows)
+    assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()) == python_line_dedup(data, ratio, least, once)
+    assert got.columns == [*frame(spark).columns, "n_lines", "n_dropped"] and all(x == EXTRA for x in strangers(got))
 
 
-def test_copies_of_a_page_are_no_boilerplate(spark):
-    got = {r.doc_id: r for r in line_dedup.drop_site_boilerplate(frame(spark), max_ratio=0.2, min_pages=2).collect()}
-    assert got[100].n_dropped == 0 and got[306].n_dropped == 0
+def test_copies_of_a_page_are_pages(spark):
+    # 20 pages of a host with one line on all of them, in four distinct texts
+    data = [(k, f"body {k % 4}\nfooter here", "en", "host") for k in range(20)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string")
+    got = line_dedup.drop_site_boilerplate(df, max_ratio=0.3).collect()
+    assert {r.text for r in got} == {f"body {k}" for k in range(4)}
+    once = line_dedup.drop_site_boilerplate(df, max_ratio=0.3, min_pages=5, one_per_text=True).collect()
+    assert all(r.n_dropped == 0 for r in once)
 
 
 def test_line_dedup_drops_the_line_alone(spark):
@@ -163,8 +182,38 @@ def test_mix_meets_weights(spark):
     assert out == {"src0": 20_000, "src1": 20_000}  # what src1 lacks goes to its sibling
 
 
+def python_mix(data, weights, epochs, percent, seed=42):
+    """Rows and epochs from the budgets of plain Python: whole epochs, then the prefix in the order of the digests."""
+    import hashlib
+
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    leaves = defaultdict(list)
+    for r in data:
+        leaves[r[3] or "", r[2] or "", "all"].append((r[0], r[1] or "", len(words(r[1]))))
+    tokens = {p: sum(t for *_, t in rs) for p, rs in leaves.items()}
+    budgets, out = python_budgets(tokens, weights, epochs, percent), Counter()
+    for p, rs in leaves.items():
+        if not tokens[p] or p not in budgets:
+            continue
+        full, rest = divmod(budgets[p], tokens[p])
+        out.update((d, e) for d, *_ in rs for e in range(full))
+        total = 0
+        for d, _, n in sorted(rs, key=lambda x: md5(f"{seed}:{full}:{'null' if x[0] is None else x[0]}:{md5(x[1])}")):
+            total += n
+            if rest and total <= rest:
+                out[d, full] += 1
+    return out
+
+
+@pytest.mark.parametrize("weights, epochs, percent", [({"src0": 5, "src1": 2, "*/de": 3}, 2, 100), ({"src2": 10, "odd": 0}, 3, 60)])
+def test_mix_against_python(spark, weights, epochs, percent):
+    got = Counter((r.doc_id, r.mix_epoch) for r in mix(frame(spark), weights, max_epochs=epochs, budget_percent=percent).collect())
+    assert got == python_mix(rows(), weights, epochs, percent)
+
+
 def test_mix_edges(spark):
     assert mix(empty(spark), {}).count() == 0
     out = mix(frame(spark), {"src2": 0}, max_epochs=1, budget_percent=100)
-    assert out.columns == [*frame(spark).columns, "mix_tokens", "mix_epoch"]
+    assert out.columns == [*(c for c in frame(spark).columns if c != "mix_epoch"), "mix_tokens", "mix_epoch"]
+    assert all({**x, "mix_epoch": "o"} == EXTRA for x in strangers(out)) and {r.mix_tokens for r in out.where("doc_id = 0").collect()} == {30}
     assert Counter(r.doc_id for r in out.collect())[0] == 1 and out.where("source = 'src2'").count() == 0

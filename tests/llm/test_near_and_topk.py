@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from edges import components, empty, frame, rows, words
+from edges import EXTRA, components, empty, frame, rows, strangers, words
 from pyspark.sql import functions as F
 
 from tracewright.llm import simhash, topk
@@ -29,8 +29,9 @@ def test_fingerprint_is_the_engines_hash(spark):
     assert spark.range(1).select(F.xxhash64(F.lit("a b c"))).first()[0] % 2**64 == xxhash.xxh64_intdigest(b"a b c", 42)
 
 
-@pytest.mark.parametrize("own, other", [(4096, 65_536), (3, 8)])
-def test_classes(spark, monkeypatch, own, other):
+@pytest.mark.parametrize("tile, own, other", [(16_384, 4096, 65_536), (8, 3, 8), (0, 2, 3)])
+def test_classes(spark, monkeypatch, tile, own, other):
+    monkeypatch.setattr(simhash, "TILE_ROWS", max(tile, 1))
     monkeypatch.setattr(simhash, "OWN_ROWS", own)
     monkeypatch.setattr(simhash, "OTHER_ROWS", other)
     got = simhash.near_classes(frame(spark), carry=("slot",)).collect()
@@ -46,7 +47,9 @@ def test_classes(spark, monkeypatch, own, other):
     assert {by[100 + k] for k in range(12)} == {100} and by[300] == by[301] == by[302] == 300
 
 
-def test_links_of_random_fingerprints(spark, monkeypatch):
+@pytest.mark.parametrize("tile, radius", [(16_384, 3), (64, 3), (4, 3), (64, 1), (64, 6)])
+def test_links_of_random_fingerprints(spark, monkeypatch, tile, radius):
+    monkeypatch.setattr(simhash, "TILE_ROWS", tile)
     monkeypatch.setattr(simhash, "OWN_ROWS", 16)
     monkeypatch.setattr(simhash, "OTHER_ROWS", 64)
     r = random.Random(8)
@@ -59,9 +62,18 @@ def test_links_of_random_fingerprints(spark, monkeypatch):
             fps.add(centre)
     fps |= {0, 2**64 - 1, 7, 2**64 - 8}
     df = spark.createDataFrame([(int(np.uint64(x).view(np.int64)),) for x in fps], "fp bigint")
-    edges = simhash.links(df).collect()
+    edges = simhash.links(df, radius).collect()
     got = components(sorted(fps), lambda a, b, s={(e.u % 2**64, e.v % 2**64) for e in edges}: (a, b) in s or (b, a) in s)
-    assert got == components(sorted(fps), lambda a, b: (a ^ b).bit_count() <= 3)
+    assert got == components(sorted(fps), lambda a, b: (a ^ b).bit_count() <= radius)
+
+
+def test_runs_of_a_key_give_a_forest():
+    r = np.random.default_rng(3)
+    fps = np.unique(np.concatenate([r.integers(0, 1 << 48, 300, dtype=np.uint64), np.array([1 << k for k in range(48)], dtype=np.uint64), np.array([0], dtype=np.uint64)]))
+    u, v = simhash.run_links(np.zeros(len(fps), np.int64), fps)
+    pairs = set(zip(u.tolist(), v.tolist()))
+    want = components(fps.tolist(), lambda a, b: (a ^ b).bit_count() <= 3)
+    assert components(fps.tolist(), lambda a, b: (a, b) in pairs or (b, a) in pairs) == want and len(u) <= 2 * len(fps)
 
 
 def test_a_tile_returns_a_forest():
@@ -72,7 +84,9 @@ def test_a_tile_returns_a_forest():
 
 def test_keep_one(spark):
     kept = simhash.keep_one(frame(spark))
-    assert kept.columns == frame(spark).columns
+    assert kept.columns == frame(spark).columns and all(x == EXTRA for x in strangers(kept))
+    carried = simhash.near_classes(frame(spark), carry=tuple(frame(spark).columns))
+    assert carried.columns == [*(c for c in frame(spark).columns if c not in ("fp", "component_id")), "fp", "component_id"]
     got = Counter(r.doc_id for r in kept.collect())
     classes = simhash.near_classes(frame(spark)).collect()
     assert len(list(got.elements())) == len({(r.component_id, None if r.component_id is not None else r.fp) for r in classes})
@@ -95,15 +109,15 @@ VECTOR = "vec_id bigint, embedding array<float>, score string, rank string"
 
 
 def python_topk(data, k, scale=64):
-    ok = {}
+    """Every row is a candidate, whatever ids it shares; every row of a query's id is a query."""
+    ok = []
     for i, v, *_ in data:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            w = [math.floor(float(np.float32(x)) * scale) for x in v]
-            ok[i] = min(ok.get(i, w), w)
+            ok.append((i, [math.floor(float(np.float32(x)) * scale) for x in v]))
     out = []
-    for q in ok:
+    for n, (q, v) in enumerate(ok):
         if q % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(ok[q], ok[c])), c) for c in ok if c != q)[:k]
+            best = sorted((-sum(a * b for a, b in zip(v, w)), c) for m, (c, w) in enumerate(ok) if m != n)[:k]
             out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(best)]
     return sorted(out)
 
@@ -129,3 +143,18 @@ def test_topk_small(spark):
     assert topk.exact_topk(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     big = spark.createDataFrame([(0, [3e4] * 3, "", ""), (1, [-3e4] * 3, "", "")], VECTOR)
     assert topk.exact_topk(big, F.col("vec_id") % 20 == 0).first().score == -3 * (30_000 * 64) ** 2
+
+
+def test_topk_of_repeated_ids(spark):
+    df = spark.createDataFrame([(0, [1.0], "", ""), (1, [2.0], "", ""), (1, [3.0], "", ""), (2, [0.5], "", "")], VECTOR)
+    assert sorted(tuple(x) for x in topk.exact_topk(df, F.col("vec_id") % 20 == 0).collect()) == [(0, 1, 1, 64 * 192), (0, 2, 1, 64 * 128), (0, 3, 2, 64 * 32)]
+    twice = spark.createDataFrame([(0, [1.0], "", ""), (0, [2.0], "", "")], VECTOR)
+    assert sorted(tuple(x) for x in topk.exact_topk(twice, F.col("vec_id") % 20 == 0).collect()) == [(0, 1, 0, 64 * 128)] * 2
+
+
+def test_topk_of_large_scores(spark):
+    # products near the end of a long
+    vectors = {0: [2.0**31], 1: [2.0**31], 2: [2.0**30], 3: [100.0], 4: [-(2.0**31)]}
+    df = spark.createDataFrame([(k, v) for k, v in vectors.items()], "vec_id bigint, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in topk.exact_topk(df, F.col("vec_id") == 0, k=3, scale=1).orderBy("rank").collect()]
+    assert got == [(1, 2**62), (2, 2**61), (3, 100 * 2**31)]

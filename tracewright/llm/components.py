@@ -32,3 +32,10 @@ def connected(edges: DataFrame) -> DataFrame:
         last, now = mark, cut(_small_star(_large_star(now)))
         mark = _mark(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
+
+
+def classes_of(marked: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``marked`` (rows with their node ``fp``) with ``component_id``, the least id among the rows of the node's component; ``nodes`` has the least id of each node."""
+    joined = nodes.join(cut(roots), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    best = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked.join(joined.join(best, "root").select("fp", "component_id"), "fp")

@@ -39,7 +39,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_site_boilerplate(table(spark, sf_dir, "documents"), "source", "text", max_ratio=0.05, min_pages=5)
+    out = drop_site_boilerplate(table(spark, sf_dir, "documents"), "source", "text", max_ratio=0.05)
     return out.select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
@@ -144,10 +144,10 @@ f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
     + 32 * (10 * n_dup_lines > 3 * n_lines)::BIGINT + 64 * (10 * n_bare_words > 2 * n_words)::BIGINT + 128 * (10 * n_upper > 4 * word_chars)::BIGINT + 256 * (10 * n_ellipsis_lines > 3 * n_lines)::BIGINT + 512 * (10 * n_bullet_lines > 9 * n_lines)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, fail_bits = 0 AS kept, fail_bits FROM f""",
     "op5_topk": r"""
-WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(x * 64)) AS q FROM embeddings
-    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: coalesce(z[1] * z[2], 0))), 0)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
-SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(x * 64)) AS q FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.row, a.vec_id AS query_id, b.vec_id, coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: coalesce(z[1] * z[2], 0))), 0)::BIGINT AS score FROM v a JOIN v b ON a.row <> b.row WHERE a.vec_id % 20 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
     "op1_mixing": rf"""
 WITH slim AS (SELECT doc_id, {_DOMAIN} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source, lang AS lang0, source AS source0, coalesce(text, '') AS text,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents),
@@ -161,15 +161,14 @@ l1 AS (SELECT l.domain, lang, w2 AS weight, sum(l.cap)::BIGINT AS cap, any_value
 l2 AS (SELECT * FROM {_share("l1", "domain", "lang")}),
 s1 AS (SELECT l.domain, l.lang, l.source, l.tokens, l.weight, l.cap, l2.alloc AS budget FROM leaves l JOIN l2 ON l.domain = l2.domain AND l.lang = l2.lang),
 s2 AS (SELECT domain, lang, source, (alloc // tokens)::INT AS full_epochs, alloc % tokens AS rest FROM {_share("s1", "domain, lang", "source")} WHERE tokens > 0),
-r AS (SELECT s.*, full_epochs, rest, sum(tokens) OVER (PARTITION BY s.domain, s.lang, s.source ORDER BY md5('42:' || full_epochs || ':' || coalesce(doc_id::VARCHAR, 'null')), tokens, md5(text)) AS run
+r AS (SELECT s.*, full_epochs, rest, sum(tokens) OVER (PARTITION BY s.domain, s.lang, s.source ORDER BY md5('42:' || full_epochs || ':' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(text)) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
     FROM slim s JOIN s2 ON s.domain = s2.domain AND s.lang = s2.lang AND s.source = s2.source)
 SELECT doc_id, domain, lang0 AS lang, source0 AS source, epoch::INT AS epoch, tokens FROM (SELECT *, unnest(range(full_epochs)) AS epoch FROM r)
 UNION ALL SELECT doc_id, domain, lang0, source0, full_epochs, tokens FROM r WHERE rest > 0 AND run <= rest""",
     "op2_line_dedup": r"""
 WITH p AS (SELECT row_number() OVER () AS id, doc_id, source, coalesce(source, '') AS host, text, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT DISTINCT id, host, unnest(lines) AS line FROM p),
-u AS (SELECT host, text, min(id) AS id FROM p GROUP BY 1, 2),
-b AS (SELECT host, line FROM (SELECT host, line, count(*) AS n FROM l WHERE id IN (SELECT id FROM u) AND regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2) JOIN (SELECT host, count(*) AS total FROM u GROUP BY 1) USING (host) WHERE n >= 5 AND n / total > 0.05),
+b AS (SELECT host, line FROM (SELECT host, line, count(*) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2) JOIN (SELECT host, count(*) AS total FROM p GROUP BY 1) USING (host) WHERE n / total > 0.05),
 g AS (SELECT id, list(line) AS gone FROM l JOIN b USING (host, line) GROUP BY 1),
 k AS (SELECT p.*, list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), x)) AS stay FROM p LEFT JOIN g USING (id))
 SELECT doc_id, source, coalesce(len(lines), 0) AS n_lines, coalesce(len(lines) - len(stay), 0) AS n_dropped, CASE WHEN text IS NOT NULL THEN array_to_string(stay, chr(10)) END AS text FROM k""",

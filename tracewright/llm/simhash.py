@@ -1,15 +1,18 @@
 """SimHash near-duplicates by exact comparison in tiles.
 
-Equal fingerprints are one node. Nodes are cut into cells by the population
-counts of their four 16-bit quarters: two fingerprints within ``radius`` bits
-have counts whose differences add up to ``radius`` at most, so every pair of
-cells farther apart is skipped. What is left is compared in full, by numpy's
-exclusive-or and bit count, in tiles of bounded size: a cell's own nodes
-against its nodes and those of the later cells near it. Each fingerprint is
-copied to a fixed number of cells (65 at radius 3), so the shuffle grows with
-the input; comparisons are some 2.5 % of all pairs. A cell with more nodes than
-a tile is dealt over several tiles on both sides, so no task gathers a large
-group of near copies.
+Equal fingerprints are one node. Nodes are compared in full, by numpy's exclusive-or and bit
+counts, in tiles. Two bounds that lose no link say which tiles meet at all:
+
+* Fingerprints within ``radius`` bits are equal in one of ``radius + 1`` pieces, so a tile
+  holds nodes with an equal piece (a key). A node is in ``radius + 1`` tiles, whatever the
+  number of nodes: the shuffle is linear.
+* Their population counts differ by ``radius`` at most. Within a key nodes stand in order of their counts, and a
+  comparison ends where the counts are farther apart.
+
+Small keys share a tile, so that a tile has some ``TILE_ROWS`` nodes. A key with more of them
+(near copies in great number, or more than some 1e9 nodes in all) is cut into cells by population count, and
+cells into tiles: a cell's own nodes against its nodes and those of the cells above it within the radius; no
+task gathers a large key.
 
 A tile returns the links that a union-find still needs, not all pairs, and
 :func:`tracewright.llm.components.connected` joins them up.
@@ -18,7 +21,6 @@ A tile returns the links that a union-find still needs, not all pairs, and
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import cut, held, small_side
-from tracewright.llm.components import connected
+from tracewright.llm.common import apart, back, cut, ddl, held, quoted, small_side
+from tracewright.llm.components import classes_of, connected
 from tracewright.llm.similar import similar_classes
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: Nodes of a tile: own, and those they are compared with.
+ADDED = ("fp", "component_id")
+#: Nodes of a tile of whole keys, and of one of a larger key: own, and those they are compared with.
+TILE_ROWS = 16_384
 OWN_ROWS, OTHER_ROWS = 4096, 65_536
 #: Comparisons made at once.
 BLOCK = 1 << 19
@@ -52,23 +56,18 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, the columns in ``carry`` and ``fp`` (the fingerprint as a signed long) of every row."""
-    names = list(dict.fromkeys((id_col, *carry)))
-    schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names], "fp bigint"])
+    """``id_col``, the columns in ``carry`` and ``fp`` (the fingerprint as a signed long; a column of that name isn't carried) of every row."""
+    names = list(dict.fromkeys((id_col, *(c for c in carry if c.lower() not in ADDED))))
+    rows = df.select(*[quoted(c) for c in names], F.col(text_col)).toDF(*[f"in_{k}" for k in range(len(names))], "_text")
+    schema = ", ".join([*[f"in_{k} {ddl(df, c)}" for k, c in enumerate(names)], "_fp bigint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("simhash", object)
         for batch in batches:
             marks = np.array([fingerprint(x.as_py()) for x in batch.column(len(names))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(marks)], names=[*names, "fp"])
-
-    return df.select(*names, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(marks)], names=[*[f"in_{k}" for k in range(len(names))], "_fp"])
 
-
-def _offsets(radius: int) -> list[tuple[int, ...]]:
-    """Steps between cells that can hold linked nodes, each pair of opposite steps once."""
-    reach = range(-radius, radius + 1)
-    return [d for d in product(reach, repeat=4) if sum(map(abs, d)) <= radius and d > (0, 0, 0, 0)]
+    return rows.mapInArrow(run, schema).select(*back(names), F.col("_fp").alias("fp"))
 
 
 def tile_links(own: np.ndarray, other: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -97,22 +96,68 @@ def tile_links(own: np.ndarray, other: np.ndarray, radius: int = RADIUS) -> tupl
     return every[np.concatenate(us)], every[np.concatenate(vs)]
 
 
+def run_links(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what fingerprints with equal keys within ``radius`` of each other connect."""
+    order = np.lexsort((np.bitwise_count(fps), keys))
+    keys, fps = keys[order], fps[order]
+    ones, root, at = np.bitwise_count(fps).astype(np.int64), np.arange(len(fps)), np.arange(len(fps))
+    us, vs = [np.empty(0, fps.dtype)], [np.empty(0, fps.dtype)]
+    for step in range(1, len(fps)):
+        at = at[at < len(fps) - step]
+        at = at[(keys[at + step] == keys[at]) & (ones[at + step] - ones[at] <= radius)]
+        if not len(at):
+            break
+        near = at[np.bitwise_count(fps[at] ^ fps[at + step]) <= radius]
+        near = near[root[near] != root[near + step]]
+        if len(near):
+            us.append(fps[near])
+            vs.append(fps[near + step])
+            while (root[near] != root[near + step]).any():
+                a, b = root[near], root[near + step]
+                np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+                while (root[root] != root).any():
+                    root = root[root]
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def pieces(radius: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of ``radius + 1`` pieces of a fingerprint."""
+    edges = [64 * k // (radius + 1) for k in range(radius + 2)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+
+
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(u, v) over distinct fingerprints ``fp``, enough to connect all within ``radius`` of each other."""
-    quarters = [F.bit_count(F.shiftright("fp", 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long"))) for k in range(4)]
-    code = lambda q: q[0] * 17**3 + q[1] * 17**2 + q[2] * 17 + q[3]
-    placed = nodes.select("fp", F.array(*quarters).alias("q"))
-    steps = F.array(*[F.array(*[F.lit(x) for x in d]) for d in [(0, 0, 0, 0), *_offsets(radius)]])
-    near = F.filter(F.transform(steps, lambda d: F.zip_with("q", d, lambda a, b: a - b)), lambda q: F.forall(q, lambda x: (x >= 0) & (x <= 16)))
-    # a row for each cell (17**4 at most), with the tiles that its own nodes and those they meet fill
-    cells = cut(placed.groupBy("q").agg(F.count("*").alias("n")))
-    met = cells.select("n", F.explode(near).alias("q")).groupBy("q").agg(F.sum("n").alias("met"))
-    cells = cells.join(met, "q").select(code(F.col("q")).alias("cell"), F.ceil(F.col("n") / OWN_ROWS).cast("int").alias("own"), F.ceil(F.col("met") / OTHER_ROWS).cast("int").alias("others"))
-    cells = F.broadcast(cut(cells))
+    """(u, v) over distinct fingerprints ``fp``, enough to connect all within ``radius`` (below 64) of each other."""
+    if radius < 1:  # distinct fingerprints
+        return nodes.where(F.lit(False)).select(F.col("fp").alias("u"), F.col("fp").alias("v"))
+    piece = lambda a, n: F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+    keys = [piece(a, n) * (radius + 1) + k for k, (a, n) in enumerate(pieces(radius))]
+    placed = nodes.select("fp", F.explode(F.array(*keys)).alias("key"))
+    large = cut(placed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE_ROWS).select("key"))
+    n_large = large.count()
+
+    def by_key(table: pa.Table) -> pa.Table:
+        u, v = run_links(table.column("key").to_numpy(), table.column("fp").to_numpy().view(np.uint64), radius)
+        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
+
+    tiles = max(1, -(-nodes.count() * (radius + 1) // TILE_ROWS))
+    rest = placed.join(small_side(large), "key", "left_anti") if n_large else placed
+    out = rest.groupBy(F.pmod(F.xxhash64("key"), F.lit(tiles)).alias("tile")).applyInArrow(by_key, "u bigint, v bigint")
+    return out.union(_large_links(placed.join(small_side(large), "key", "left_semi"), radius)) if n_large else out
+
+
+def _large_links(placed: DataFrame, radius: int) -> DataFrame:
+    """:func:`links` of the keys with more nodes than a tile."""
+    placed = placed.withColumn("ones", F.bit_count("fp"))
+    near = lambda: F.explode(F.sequence(F.greatest(F.col("ones") - radius, F.lit(0)), F.col("ones"))).alias("ones")
+    # a row for each cell, with the tiles that its own nodes and those they meet fill
+    cells = cut(placed.groupBy("key", "ones").agg(F.count("*").alias("n")))
+    met = cells.select("key", "n", near()).groupBy("key", "ones").agg(F.sum("n").alias("met"))
+    cells = small_side(cells.join(met, ["key", "ones"]).select("key", "ones", F.ceil(F.col("n") / OWN_ROWS).cast("int").alias("own"), F.ceil(F.col("met") / OTHER_ROWS).cast("int").alias("others")))
     dealt = lambda c: F.pmod(F.xxhash64("fp"), F.col(c)).cast("int")
     tiles = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    mine = placed.select("fp", code(F.col("q")).alias("cell")).join(cells, "cell").select("cell", dealt("own").alias("i"), tiles("others").alias("j"), "fp", F.lit(True).alias("mine"))
-    theirs = placed.select("fp", F.explode(F.transform(near, code)).alias("cell")).join(cells, "cell").select("cell", tiles("own").alias("i"), dealt("others").alias("j"), "fp", F.lit(False).alias("mine"))
+    mine = placed.join(cells, ["key", "ones"]).select("key", "ones", dealt("own").alias("i"), tiles("others").alias("j"), "fp", F.lit(True).alias("mine"))
+    theirs = placed.select("fp", "key", near()).join(cells, ["key", "ones"]).select("key", "ones", tiles("own").alias("i"), dealt("others").alias("j"), "fp", F.lit(False).alias("mine"))
 
     def compare(table: pa.Table) -> pa.Table:
         fps = table.column("fp").to_numpy().view(np.uint64)
@@ -120,7 +165,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         u, v = tile_links(fps[own], fps[~own], radius)
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    return mine.union(theirs).groupBy("cell", "i", "j").applyInArrow(compare, "u bigint, v bigint")
+    return mine.union(theirs).groupBy("key", "ones", "i", "j").applyInArrow(compare, "u bigint, v bigint")
 
 
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -128,41 +173,37 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are compared whole. A null text counts as empty; texts without a word have
     fingerprint 0 and are linked like any other. Repeated rows are in one class. Null ids
-    are passed over for ``component_id``, which is null where a class has no other. Other columns are
-    ignored; an empty table gives no rows.
+    are passed over for ``component_id``, which is null where a class has no other. Columns named fp or
+    component_id aren't carried, other columns are ignored; an empty table gives no rows.
     """
-    marked = cut(fingerprints(df, id_col, text_col, carry))
-    nodes = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
-    roots = cut(connected(links(nodes, radius)))
-    joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    best = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = joined.join(best, "root").select("fp", "component_id")
-    return marked.join(classes, "fp")
+    names = list(dict.fromkeys((id_col, *(c for c in carry if c.lower() not in ADDED))))
+    marked = cut(fingerprints(df, id_col, text_col, tuple(names)).toDF(*[f"in_{k}" for k in range(len(names))], "fp"))
+    nodes = cut(marked.groupBy("fp").agg(F.min("in_0").alias("least")))
+    return classes_of(marked, nodes, connected(links(nodes, radius))).select(*back(names), "fp", "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int | None = None, similarity: float | None = None) -> DataFrame:
-    """One row of each class, whole: that with the least id, and of repeated ids that with the least text digest.
+    """One row of each class, whole, with all columns of ``df``: that with the least id, and of repeated ids that with the least text digest.
 
     With ``shingle`` and ``similarity`` the classes are those of exact similarity of word shingles, else those of fingerprints within ``radius``.
+    Null texts count as empty, null ids come last, of equal rows one stays, an empty table gives no rows.
 
     Rows are told by (id, text digest). Only the keys that go, and those that several rows share, meet
     the table again; while they are few enough to broadcast, the texts aren't shuffled.
     """
-    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
-    marked = df.withColumn("_digest", digest)
+    rows = apart(df, _id=F.col(id_col), _text=F.col(text_col), _digest=F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     if similarity is None:
-        classes = near_classes(marked, id_col, text_col, radius, carry=("_digest",))
+        classes = near_classes(rows, "_id", "_text", radius, carry=("_digest",))
     else:
-        classes = similar_classes(marked, id_col, text_col, shingle, similarity, carry=("_digest",))
+        classes = similar_classes(rows, "_id", "_text", shingle, similarity, carry=("_digest",))
     # a class is named by its least id, or, where all its ids are null, by its least fingerprint
     name = (F.col("component_id").alias("_c"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("_f"))
-    keys = cut(classes.groupBy(F.col(id_col).alias("_id"), F.col("_digest").alias("_d"), *name).agg(F.count("*").alias("_n")))
-    order = F.struct(F.col("_id").isNull(), F.col("_id").alias("id"), F.col("_d").alias("d"))
+    keys = cut(classes.groupBy(F.col("_id").alias("_i"), F.col("_digest").alias("_d"), *name).agg(F.count("*").alias("_n")))
+    order = F.struct(F.col("_i").isNull(), F.col("_i").alias("id"), F.col("_d").alias("d"))
     best = keys.groupBy("_c", "_f").agg(F.min(order).alias("_best"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    chosen = same("_id", "_best.id") & same("_d", "_best.d")
+    chosen = same("_i", "_best.id") & same("_d", "_best.d")
     judged = keys.join(best.select(F.col("_c").alias("_c2"), F.col("_f").alias("_f2"), "_best"), same("_c", "_c2") & same("_f", "_f2"))
-    marks = small_side(judged.where(~chosen | (F.col("_n") > 1)).select("_id", "_d", chosen.alias("_stays")))
-    rows = df.withColumn("_digest", digest).join(marks, same(id_col, "_id") & same("_digest", "_d"), "left")
-    out = [F.col(c) for c in df.columns]
-    return rows.where("_stays is null").select(*out).unionByName(rows.where("_stays").dropDuplicates([id_col, "_digest"]).select(*out))
+    marks = small_side(judged.where(~chosen | (F.col("_n") > 1)).select("_i", "_d", chosen.alias("_stays")))
+    rows = rows.join(marks, same("_id", "_i") & same("_digest", "_d"), "left")
+    return rows.where("_stays is null").select(*back(df.columns)).union(rows.where("_stays").dropDuplicates(["_id", "_digest"]).select(*back(df.columns)))
