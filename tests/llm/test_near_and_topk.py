@@ -8,7 +8,7 @@ import xxhash
 from edges import EXTRA, components, empty, frame, rows, strangers, words
 from pyspark.sql import functions as F
 
-from tracewright.llm import simhash, topk
+from tracewright.llm import similar, simhash, topk
 from tracewright.llm.components import connected
 
 
@@ -158,3 +158,44 @@ def test_topk_of_large_scores(spark):
     df = spark.createDataFrame([(k, v) for k, v in vectors.items()], "vec_id bigint, embedding array<double>")
     got = [(r.vec_id, r.score) for r in topk.exact_topk(df, F.col("vec_id") == 0, k=3, scale=1).orderBy("rank").collect()]
     assert got == [(1, 2**62), (2, 2**61), (3, 100 * 2**31)]
+
+
+# --- similarity of shingles ----------------------------------------------------------
+
+
+def near_texts(seed=5):
+    """Groups of copies with ever more words changed, so that some are similar to few others of their group only."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    texts = []
+    for n, copies, most in ((60, 60, 8), (200, 30, 20), (30, 20, 3), (400, 3, 60)):
+        body = [word() for _ in range(n)]
+        for _ in range(copies):
+            copy = list(body)
+            for at in r.sample(range(n), r.randint(0, most)):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    return texts + [" ".join(word() for _ in range(40)) for _ in range(30)] + ["", "one two", "one two", "One  two\n"]
+
+
+@pytest.mark.parametrize("ask, told", [(250_000, 500_000), (300, 900)])
+def test_similar_classes(spark, monkeypatch, ask, told):
+    monkeypatch.setattr(similar, "ASK_SHINGLES", ask)
+    monkeypatch.setattr(similar, "TOLD_SHINGLES", told)
+    texts = near_texts()
+    grams = [{tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} if ws else set() for ws in (words(t.lower()) for t in texts)]
+    like = lambda a, b: grams[a] == grams[b] or (bool(grams[a] | grams[b]) and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.8)
+    want = components(range(len(texts)), like)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in similar.similar_classes(df).collect()}
+    assert got == want and len(set(want.values())) > 40
+    kept = sorted(r.doc_id for r in simhash.keep_one(df, shingle=5, similarity=0.8).collect())
+    assert kept == sorted(set(want.values()))
+
+
+def test_similar_classes_edges(spark):
+    out = similar.similar_classes(frame(spark), carry=tuple(frame(spark).columns))
+    assert out.columns == [*(c for c in frame(spark).columns if c not in ("fp", "component_id")), "fp", "component_id"]
+    by = {r.doc_id: r.component_id for r in out.collect()}
+    assert {by[100 + k] for k in range(12)} == {100} and by[300] == by[301] == by[302] == 300 and by[306] == 306
+    assert similar.similar_classes(empty(spark)).count() == 0 and simhash.keep_one(empty(spark), shingle=5, similarity=0.8).count() == 0

@@ -1,13 +1,15 @@
 """License scans by a trained paragraph classifier.
 
 A multinomial logistic regression on sparse one- and two-word features assigns
-each paragraph (a line) to a licence family or to none. It is trained here, on
+each paragraph to a licence family, to unknown or to none. A paragraph is a line, or, where a notice is wrapped,
+the consecutive lines that each look like part of a licence; marks of comments aren't words. The classifier is trained here, on
 the notices below with seeded variations, against seeded ordinary prose that
 also talks of licences, versions and rights. Its probabilities are calibrated by a
-temperature on held-out variations; a paragraph that is not none but whose best family stays
-below the calibrated threshold is of an unknown licence. A predicted family is
+temperature on held-out variations, and the unknown class by licences left out: a second classifier that never saw
+the families in ``LEFT_OUT`` shows how sure it gets of a wrong family, and a family is given only above that. A predicted family is
 confirmed when a notice of the family is found in the paragraph: at least
-``CONFIRM`` of the notice's word pairs, where all version numbers are alike; otherwise it becomes unknown too. What
+``CONFIRM`` of the notice's word pairs, where all version numbers are alike, and for a notice of a few words, in a
+clause of its own; otherwise it becomes unknown too. What
 the classifier itself calls unknown stays so; a family that is not confirmed
 must share ``PARTLY`` of the word pairs of some notice, else the paragraph is none.
 SPDX identifiers name their families themselves, other identifiers are unknown.
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -26,9 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.llm.common import ddl, quoted
+
 NONE, UNKNOWN = "none", "unknown"
 CONFIRM = 0.8
 PARTLY = 0.4
+#: A line below this probability of being none can be part of a wrapped notice.
+PART = 0.9
+#: Words of a notice that has to be a clause of its own.
+SHORT = 3
+CLAUSE = re.compile(r"[^\w\s'-]+(?=\s|$)|\n")
+#: Families that calibration leaves out of training, to stand for licences never seen; and the share of them that may still be given a family.
+LEFT_OUT, LEFT_SHARE = ("cc0", "isc", "lgpl", "mpl"), 0.05
 WORDS = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 VERSION = re.compile(r"v?[0-9]+(?:\.[0-9]+)*")
@@ -119,7 +130,7 @@ NOTICES = {
     ),
 }
 #: Licences that belong to no family: they teach the classifier doubt, never a family.
-ODD = ("licensed under the {} license version {}", "released under the {} license", "this work is licensed under the {} public license", "spdx-license-identifier {}-{}", "distributed under the terms of the {} licence agreement")
+ODD = ("covered by the {} community terms", "use of this {} is subject to the {} license terms", "commercial use is forbidden without the consent of {}", "you may not sell or redistribute this {} without a license from {}", "the {} may be used for research purposes only", "you agree to the terms of the {} end user license agreement", "licensed under the {} license version {}", "released under the {} license", "this work is licensed under the {} public license", "spdx-license-identifier {}-{}", "distributed under the terms of the {} licence agreement")
 PLAIN = (
     "she got her driving license in {} and drove on to {}",
     "the restaurant lost its liquor license under the new law of {}",
@@ -131,8 +142,12 @@ PLAIN = (
     "people have rights and the rights of {} are reserved by law",
     "the university of {} offers a common source of creative work",
     "read the terms and conditions of the {} before you sign",
+    "she said all rights reserved seats were taken by {}",
+    "commercial use of the {} grew and the consent of {} was needed",
     "the mit campus and the apache river are in {}",
 )
+#: Words that make a pair of words a sign of a licence.
+CORE = re.compile("licen|permi|copy|right|redistr|warrant|reserv|grant|gnu|gpl|agpl|lgpl|mit|apache|bsd|mozilla|isc|creative|commons|attribution|cc|spdx|unlicense|public|general|software|source|notice|prohibit|propriet|confid|consent|sell|terms|agree")
 COMMON = "the of and to in a is that for it was on are as with his they at be this from have or by one had not but what all were when we there can an your which their if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split()
 FOREIGN = "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce el y los del las con una por para no su al lo como o pero sus le ha".split()
 FEATURES_MIN = 2
@@ -154,13 +169,15 @@ def _varied(r: random.Random, notice: str) -> list[str]:
     return _noise(r, r.choice((0, 0, 3, 8, 20))) + body + _noise(r, r.choice((0, 0, 3, 8, 20)))
 
 
-def samples(seed: int, each: int) -> list[tuple[list[str], str]]:
+def samples(seed: int, each: int, families: Iterable[str] = tuple(NOTICES)) -> list[tuple[list[str], str]]:
     """Labelled paragraphs: varied notices, odd licences, ordinary prose."""
     r = random.Random(seed)
-    out = [(_varied(r, n), family) for family, notices in NOTICES.items() for n in notices for _ in range(each)]
+    out = [(_varied(r, n), family) for family in families for n in NOTICES[family] for _ in range(each)]
     out += [(_noise(r, r.randint(1, 60)), NONE) for _ in range(20 * each)]
-    lone = [w for notices in NOTICES.values() for n in notices for w in n.split()]
-    for words_of in (COMMON, FOREIGN, FOREIGN):  # prose in which a notice's words stand alone
+    texts = [n for notices in NOTICES.values() for n in notices] + [t.replace("{}", "thing") for t in ODD]
+    lone = [w for n in texts for w in n.split()]
+    lone += [f"{a} {b}" for n in texts for a, b in zip(n.split(), n.split()[1:]) if not CORE.match(a) and not CORE.match(b)]
+    for words_of in (COMMON, COMMON, FOREIGN, FOREIGN):  # prose in which a notice's words, and pairs of its commoner ones, stand alone
         for _ in range(20 * each):
             body = [r.choice(words_of) if r.random() < 0.5 else w for w in _noise(r, r.randint(2, 60))]
             for _ in range(r.randint(0, 3)):
@@ -181,20 +198,23 @@ class Classifier:
     temperature: float = 1.0
     threshold: float = 0.5
 
-    def rows(self, ids: np.ndarray, same: np.ndarray) -> np.ndarray:
-        """Row of ``weights`` for the pair that starts at each place, 0 (a row of zeros) for unknown ones; ``same``: the next word is in the paragraph."""
+    def features(self, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(paragraph, row of ``weights``) of the distinct known words and pairs of each paragraph; each paragraph has row 0, which is all zeros."""
+        where = np.zeros(len(ids), np.int64)
+        where[starts[1:]] = 1
+        where = np.cumsum(where)
         code = ids[:-1] * (len(self.vocabulary) + 1) + ids[1:]
         at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-        return np.where((self.pairs[at] == code) & same, at + len(self.vocabulary) + 1, 0)
+        pairs = np.where((self.pairs[at] == code) & (where[1:] == where[:-1]), at + len(self.vocabulary) + 1, 0)
+        width = len(self.weights)
+        found = np.unique(np.concatenate((where * width + ids, where[:-1] * width + pairs, np.arange(len(starts)) * width)))
+        return found // width, found % width
 
     def probabilities(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Calibrated probabilities of the paragraphs that begin at ``starts`` among the words ``ids``."""
-        gathered = self.weights[ids]
-        if len(ids) > 1:
-            same = np.ones(len(ids) - 1, bool)
-            same[starts[1:] - 1] = False
-            gathered[:-1] += self.weights[self.rows(ids, same)]
-        logits = (np.add.reduceat(gathered, starts, axis=0) + self.bias) / self.temperature
+        which, rows = self.features(ids, starts)
+        sums = np.add.reduceat(self.weights[rows], np.searchsorted(which, np.arange(len(starts))), axis=0)
+        logits = (sums + self.bias) / self.temperature
         e = np.exp(logits - logits.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
@@ -203,55 +223,52 @@ def _ids(vocabulary: dict[str, int], paragraph: list[str]) -> np.ndarray:
     return np.array([vocabulary.get(w, 0) for w in paragraph], dtype=np.int64)
 
 
-@lru_cache(maxsize=2)
-def train(seed: int = 42, each: int = 16) -> Classifier:
-    """Fit on half of the samples' seeds, calibrate temperature and threshold on the other."""
-    fit, held = samples(seed, each), samples(seed + 1, each // 2)
-    families = [*NOTICES, NONE, UNKNOWN]
+def fit(labelled: list[tuple[list[str], str]], families: Iterable[str], epochs: int = EPOCHS) -> Classifier:
+    """The regression of the labelled paragraphs."""
+    families = [*families, NONE, UNKNOWN]
     known: dict[str, int] = {}
-    for ws, _ in fit:
+    for ws, _ in labelled:
         for w in set(ws):
             known[w] = known.get(w, 0) + 1
     vocabulary = {w: k + 1 for k, w in enumerate(sorted(w for w, n in known.items() if n >= FEATURES_MIN))}
     base = len(vocabulary) + 1
     codes: dict[int, int] = {}
-    for ws, _ in fit:
+    for ws, _ in labelled:
         ids = _ids(vocabulary, ws)
         for c in np.unique((ids[:-1] * base + ids[1:])[(ids[:-1] > 0) & (ids[1:] > 0)]).tolist():
             codes[c] = codes.get(c, 0) + 1
     pairs = np.array(sorted(c for c, n in codes.items() if n >= FEATURES_MIN), dtype=np.int64)
-    model = Classifier(families, vocabulary, pairs, np.zeros((base + len(pairs), len(families))), np.zeros(len(families)))
-    rows, cols, want = [], [], []
-    for k, (ws, family) in enumerate(fit):
-        ids = _ids(vocabulary, ws)
-        found = np.concatenate((ids, model.rows(ids, np.ones(max(0, len(ids) - 1), bool)))) if len(ids) > 1 else ids
-        found = found[found > 0]
-        rows.append(np.full(len(found), k))
-        cols.append(found)
-        want.append(families.index(family))
-    rows, cols, want = np.concatenate(rows), np.concatenate(cols), np.array(want)
+    model = Classifier(families, vocabulary, pairs, np.zeros((base + len(pairs), len(families)), np.float32), np.zeros(len(families), np.float32))
+    every = [_ids(vocabulary, ws) for ws, _ in labelled]
+    want = np.array([families.index(family) for _, family in labelled])
+    rows, cols = model.features(np.concatenate(every), np.cumsum([0, *map(len, every[:-1])]))
     order = np.argsort(cols, kind="stable")
-    starts = np.searchsorted(rows, np.arange(len(fit)))
+    starts = np.searchsorted(rows, np.arange(len(labelled)))
     used, first = np.unique(cols[order], return_index=True)
-    empty = np.bincount(rows, minlength=len(fit)) == 0
     velocity, step = np.zeros_like(model.weights), np.zeros_like(model.bias)
-    for _ in range(EPOCHS):  # full-batch descent with momentum
-        sums = np.add.reduceat(model.weights[cols], np.minimum(starts, len(cols) - 1), axis=0)
-        sums[empty] = 0
-        logits = sums + model.bias
+    for _ in range(epochs):  # full-batch descent with momentum
+        logits = np.add.reduceat(model.weights[cols], starts, axis=0) + model.bias
         e = np.exp(logits - logits.max(axis=1, keepdims=True))
         error = e / e.sum(axis=1, keepdims=True)
-        error[np.arange(len(fit)), want] -= 1
+        error[np.arange(len(labelled)), want] -= 1
         gradient = np.zeros_like(model.weights)
-        gradient[used] = np.add.reduceat(error[rows[order]], first, axis=0) / len(fit)
+        gradient[used] = np.add.reduceat(error[rows[order]], first, axis=0) / len(labelled)
         velocity = 0.9 * velocity - RATE * (gradient + DECAY * model.weights)
         step = 0.9 * step - RATE * error.mean(axis=0)
         model.weights += velocity
+        model.weights[0] = 0
         model.bias += step
-    model.weights[0] = 0
-    model.weights = model.weights.astype(np.float32)
-    truth = np.array([families.index(f) for _, f in held])
-    raw = np.concatenate([np.log(model.probabilities(_ids(vocabulary, ws), np.zeros(1, np.int64)) + 1e-30) for ws, _ in held])
+    return model
+
+
+def _scores(model: Classifier, paragraphs: list[tuple[list[str], str]]) -> np.ndarray:
+    return np.concatenate([model.probabilities(_ids(model.vocabulary, ws), np.zeros(1, np.int64)) for ws, _ in paragraphs])
+
+
+def _temper(model: Classifier, held: list[tuple[list[str], str]]) -> np.ndarray:
+    """Set the temperature with the least loss on held-out paragraphs; their probabilities."""
+    truth = np.array([model.families.index(f) for _, f in held])
+    raw = np.log(_scores(model, held) + 1e-30)
 
     def loss(t: float) -> float:
         z = raw / t
@@ -259,10 +276,26 @@ def train(seed: int = 42, each: int = 16) -> Classifier:
         return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), truth]).mean())
 
     model.temperature = min((x / 20 for x in range(4, 61)), key=loss)
-    p = np.concatenate([model.probabilities(_ids(vocabulary, ws), np.zeros(1, np.int64)) for ws, _ in held])
+    return _scores(model, held)
+
+
+@lru_cache(maxsize=2)
+def train(seed: int = 42, each: int = 16) -> Classifier:
+    """Fit on half of the samples' seeds, calibrate the temperature on the other and the threshold on families left out as well."""
+    held = samples(seed + 1, each // 2)
+    model = fit(samples(seed, each), NOTICES)
+    p = _temper(model, held)
     best, top = p[:, :-2].argmax(axis=1), p[:, :-2].max(axis=1)
+    truth = np.array([model.families.index(f) for _, f in held])
     # the least threshold at which 99 % of the families given are right
-    model.threshold = next((x / 100 for x in range(30, 99) if (best == truth)[top >= x / 100].mean() >= 0.99), 0.99)
+    right = next((x / 100 for x in range(30, 99) if (best == truth)[top >= x / 100].mean() >= 0.99), 0.99)
+    # and at which licences never seen get a family no oftener than LEFT_SHARE
+    rest = [f for f in NOTICES if f not in LEFT_OUT]
+    half = fit(samples(seed, max(2, each // 2), rest), rest, EPOCHS // 2)
+    _temper(half, samples(seed + 2, max(2, each // 4), rest))
+    strange = [x for x in samples(seed + 3, max(2, each // 2), LEFT_OUT) if x[1] in LEFT_OUT]
+    sure = _scores(half, strange)[:, :-2].max(axis=1)
+    model.threshold = min(0.99, max(right, float(np.quantile(sure, 1 - LEFT_SHARE))))
     return model
 
 
@@ -292,51 +325,96 @@ def identified(paragraph: list[str]) -> list[str]:
     return list(dict.fromkeys(next((f for start, f in SPDX_FAMILIES if (x == start if start in ("mit", "isc", "unlicense") else x.startswith(start))), UNKNOWN) for x in ids))
 
 
-def likeness(paragraph: list[str], families: tuple[str, ...]) -> float:
-    """The largest share of the word pairs of a notice of the families that the paragraph holds."""
+@lru_cache(maxsize=1)
+def _short() -> dict[str, list[list[str]]]:
+    return {family: [ws for ws in map(words, notices) if len(ws) <= SHORT] for family, notices in NOTICES.items()}
+
+
+def likeness(paragraph: list[str], families: Iterable[str], text: str) -> float:
+    """The largest share of the word pairs of a notice of the families that the paragraph holds; a notice of ``SHORT`` words or fewer counts where a clause ends with it or is hardly longer."""
     paragraph = _plain(paragraph)
     have = set(zip(paragraph, paragraph[1:])) | {(w,) for w in paragraph}
-    return max(len(t & have) / len(t) for family in families for t in _templates()[family])
+    best = max((len(t & have) / len(t) for family in families for t, n in zip(_templates()[family], NOTICES[family]) if len(words(n)) > SHORT), default=0.0)
+    short = [n for family in families for n in _short()[family]]
+    if best < 1 and short:
+        clauses = [words(c) for c in CLAUSE.split(text)]
+        if any(c[-len(n) :] == n or (c[: len(n)] == n and len(c) <= len(n) + 1) for c in clauses for n in short):
+            return 1.0
+    return best
 
 
 def scan(text: str | None, model: Classifier) -> tuple[int, list[tuple[str, int, int, float]]]:
-    """(paragraphs with a word, [(family or unknown, start, end, probability)]) in code points."""
-    lines, spans, at = (text or "").split("\n"), [], 0
-    ids, starts, which, places, vocabulary = [], [], [], [], model.vocabulary
-    for line in lines:
+    """(lines with a word, [(family or unknown, start, end, probability)]) in code points.
+
+    The probability of a family is its own, that of unknown the classifier's, or, where a family wasn't confirmed, that
+    of a licence at all.
+    """
+    text = text or ""
+    spans, at = [], 0
+    ids, starts, lines, vocabulary = [], [], [], model.vocabulary
+    for line in text.split("\n"):
         ws = words(line)
         if ws:
             starts.append(len(ids))
-            which.append(ws)
-            places.append((at, at + len(line)))
+            lines.append((at, at + len(line), ws))
             ids += [vocabulary.get(w, 0) for w in ws]
         at += len(line) + 1
     if not starts:
         return 0, spans
     p = model.probabilities(np.array(ids, dtype=np.int64), np.array(starts, dtype=np.int64))
     none = len(model.families) - 2
-    for k in range(len(starts)):
-        named = identified(which[k])
-        if named:
-            spans += [(family, *places[k], round(float(p[k, model.families.index(family)]), 4)) for family in named]
-            continue
-        if p[k, none] >= 0.5:
-            continue
-        best = int(p[k, :none].argmax())
-        family, sure = model.families[best], float(p[k, best])
-        if sure < model.threshold or likeness(which[k], (family,)) < CONFIRM:
-            if p[k].argmax() != none + 1 and likeness(which[k], tuple(NOTICES)) < PARTLY:
-                continue
-            family = UNKNOWN
-        spans.append((family, *places[k], round(sure, 4)))
+
+    def judged(p: np.ndarray, ws: list[str], start: int, end: int) -> tuple[str, float] | None:
+        if p[none] >= 0.5:
+            return None
+        second, best = p[:none].argsort()[-2:].tolist()
+        if p[best] >= model.threshold:
+            alike = {k: likeness(ws, (model.families[k],), text[start:end]) for k in (best, second)}
+            if alike[second] > alike[best]:  # a notice that another's holds nearly whole, as the GPL's the LGPL's
+                best = second
+            if alike[best] >= CONFIRM:
+                return model.families[best], float(p[best])
+        if p.argmax() == none + 1:
+            return UNKNOWN, float(p[none + 1])
+        return (UNKNOWN, float(1 - p[none])) if likeness(ws, NOTICES, text[start:end]) >= PARTLY else None
+
+    def joined(run: list[int]) -> None:
+        """Lines that may make up one notice: what they are together, or else each."""
+        if len(run) > 1:
+            start, end, ws = lines[run[0]][0], lines[run[-1]][1], [w for k in run for w in lines[k][2]]
+            found = judged(model.probabilities(_ids(vocabulary, ws), np.zeros(1, np.int64))[0], ws, start, end)
+            if found is not None:
+                spans.append((found[0], start, end, round(found[1], 4)))
+                return
+        for k in run:
+            found = judged(p[k], lines[k][2], *lines[k][:2])
+            if found is not None:
+                spans.append((found[0], *lines[k][:2], round(found[1], 4)))
+
+    run: list[int] = []
+    for k, (start, end, ws) in enumerate(lines):
+        named = identified(ws)
+        alone = None if named else judged(p[k], ws, start, end)
+        part = not named and p[k, none] < PART and (alone is None or alone[0] == UNKNOWN)
+        if run and (not part or lines[run[-1]][1] + 1 != start):  # another line, or a blank one, lies between
+            joined(run)
+            run = []
+        if part:
+            run.append(k)
+        elif named:
+            spans += [(family, start, end, round(float(p[k, model.families.index(family)]), 4)) for family in named]
+        elif alone is not None:
+            spans.append((alone[0], start, end, round(alone[1], 4)))
+    if run:
+        joined(run)
     return len(starts), spans
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
     """``id_col``, ``n_paragraphs`` and ``found``, an array of (family, start, stop, probability), of every whole text.
 
-    Paragraphs are lines. A null or empty text, and one without a letter or digit
-    of ASCII, has none. Repeated rows are scanned each; other columns are ignored; an empty
+    ``n_paragraphs`` counts lines with a word. A null or empty text, and one without a letter or digit, has none; a very long text
+    is scanned whole. Repeated rows are scanned each; other columns are ignored; an empty
     table gives no rows. The classifier (some thousand features) goes to the executors by broadcast.
     """
     model = df.sparkSession.sparkContext.broadcast(train(seed))
@@ -349,7 +427,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 n, spans = scan(x.as_py(), model.value)
                 counts.append(n)
                 found.append([dict(zip(("family", "start", "stop", "probability"), s)) for s in spans])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(found, kind)], names=[id_col, "n_paragraphs", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(found, kind)], names=["_id", "n_paragraphs", "found"])
 
-    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_paragraphs bigint, found array<struct<family:string,start:bigint,stop:bigint,probability:double>>"
-    return df.select(id_col, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    schema = f"_id {ddl(df, id_col)}, n_paragraphs bigint, found array<struct<family:string,start:bigint,stop:bigint,probability:double>>"
+    return df.select(quoted(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, schema).withColumnRenamed("_id", id_col)
