@@ -144,6 +144,12 @@ PLAIN = (
     "read the terms and conditions of the {} before you sign",
     "she said all rights reserved seats were taken by {}",
     "commercial use of the {} grew and the consent of {} was needed",
+    "she has a license to teach {} in schools",
+    "a fishing license costs {} in this county",
+    "license plates and {} were stolen in the night",
+    "nobody has a license to drive {} in town",
+    "the artist took license with {} and places",
+    "a public place for general {} and common talk",
     "the mit campus and the apache river are in {}",
 )
 #: Words that make a pair of words a sign of a licence.

@@ -166,8 +166,9 @@ class Automaton:
         return total + self.stops.get(state, self.odd[state])
 
     def accepted(self, run: str, start: int, ends: frozenset[int] | set[int]) -> int:
-        """The largest of ``ends`` at which the automaton accepts ``run[start:end]``, or -1."""
+        """The largest of ``ends`` at which the automaton accepts ``run[start:end]`` with the fewest odd steps, or -1."""
         state, best, left = 0, -1, ODD_STEPS if self.marks else 0
+        spare = left
         if self.marks and run[start] not in self.marks:
             return best
         for k, symbol in enumerate(symbols(run[start : start + self.longest], self.marks), start + 1):
@@ -178,8 +179,8 @@ class Automaton:
                     break
                 step = self.steps.get((0, symbol), (state,))
             state = step[0]
-            if k in ends and state in self.stops and k - start in self.lengths:
-                best = k
+            if k in ends and state in self.stops and k - start in self.lengths and (best < 0 or left == spare):
+                best, spare = k, left
         return best
 
 
