@@ -50,8 +50,9 @@ def main(args: list[str] | None = None) -> None:
     elif a.verb == "stats":
         stats.message_stats(spark.read.parquet(a.table)).show(truncate=False)
     else:
-        idx = search.index(spark.read.parquet(a.table), "id", ("content_text", "content_thinking"))
-        search.merged({"message": search.search(idx, a.query, *search.statistics(idx))}, a.limit).show(a.limit, truncate=False)
+        rows, fields = spark.read.parquet(a.table), ("content_text", "content_thinking")
+        found = search.search(search.index(rows, "id", fields, a.query), a.query, *search.statistics(sizes=search.lengths(rows, "id", fields)))
+        search.merged({"message": found}, a.limit).show(a.limit, truncate=False)
 
 
 if __name__ == "__main__":

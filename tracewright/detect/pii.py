@@ -106,16 +106,19 @@ def candidates(text: str) -> list[tuple[int, str, Recognizer, float, str]]:
 
 
 def chosen(text: str, min_score: float = MIN_SCORE, deny: frozenset[str] = frozenset(), allow: frozenset[str] = frozenset()) -> Iterator[tuple[int, str, Recognizer, float, str, bool]]:
-    """Candidates with whether they overlap one already taken; a denied value passes the floor and the allow list."""
+    """Judged candidates with whether an earlier one covers their start.
+
+    A candidate takes its place whatever becomes of it then; of those that have one, a denied value passes the floor and the allow list, others go by them.
+    """
     end = -1
     for at, value, r, score, severity in candidates(text):
-        mark = fingerprint(value)
-        if mark not in deny and (score < min_score or mark in allow):
+        if at < end:
+            yield at, value, r, score, severity, True
             continue
-        overlaps = at < end
-        if not overlaps:
-            end = at + len(value)
-        yield at, value, r, score, severity, overlaps
+        end = at + len(value)
+        mark = fingerprint(value)
+        if mark in deny or (score >= min_score and mark not in allow):
+            yield at, value, r, score, severity, False
 
 
 def find_pii(fields: DataFrame, min_score: float = MIN_SCORE, cap: int = 50) -> DataFrame:

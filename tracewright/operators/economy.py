@@ -151,27 +151,32 @@ def request_segments(rows: DataFrame, weights: UnitWeights = UnitWeights()) -> D
     """Distinct calls folded by request: a request starts at a user row; -1 holds the calls before the first.
 
     ``rows`` are all rows of the sessions, with ``role`` and usage; requests without calls are kept, the leading segment only with calls.
+    Everything is partitioned by session, so the rows are shuffled once.
     """
-    numbered = rows.withColumn("ordinal", (F.sum((F.col("role") == "user").cast("int")).over(_order()) - 1).cast("int"))
-    calls = distinct_calls(numbered.where("role = 'assistant'")).where("input is not null or output is not null")
-    starts = numbered.where("role = 'user'").select("session_id", "ordinal", F.col("id").alias("user_message_id"), F.col("ts").alias("started_at"))
-    sums = calls.groupBy("session_id", "ordinal").agg(
-        F.count("*").alias("calls"), F.round(F.sum(equivalents(weights)) / 1e6, 9).alias("mite"), F.max("ts").alias("ended_at"),
-        F.min("ts").alias("_first"), F.min_by("model", "seq").alias("model"),
+    user, mine = F.col("role") == "user", F.col("role") == "assistant"
+    call = F.coalesce(F.col("provider_message_id").cast("string"), F.col("id").cast("string"))
+    first = F.row_number().over(Window.partitionBy("session_id", "_call").orderBy("seq")) == 1
+    marked = rows.withColumn("ordinal", (F.sum(user.cast("int")).over(_order()) - 1).cast("int")).withColumn("_call", F.when(mine, call))
+    marked = marked.withColumn("_counts", mine & first & (F.col("input").isNotNull() | F.col("output").isNotNull()))
+    of_user = lambda c: F.max(F.when(user, F.col(c)))  # noqa: E731  a request has one user row
+    of_calls = lambda c: F.when(F.col("_counts"), c)
+    out = marked.groupBy("session_id", "ordinal").agg(
+        of_user("id").alias("user_message_id"), F.coalesce(of_user("ts"), F.min(of_calls(F.col("ts")))).alias("started_at"), F.max(of_calls(F.col("ts"))).alias("ended_at"), F.count_if("_counts").alias("calls"),
+        F.coalesce(F.round(F.sum(of_calls(equivalents(weights))) / 1e6, 9), F.lit(0.0)).alias("mite"), F.min_by("model", of_calls(F.col("seq"))).alias("model"),
     )
-    out = starts.join(sums, ["session_id", "ordinal"], "full")
-    return out.select("session_id", "ordinal", "user_message_id", F.coalesce("started_at", "_first").alias("started_at"), "ended_at", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("mite", F.lit(0.0)).alias("mite"), "model")
+    return out.where("ordinal >= 0 or calls > 0")
 
 
 def class_costs(segments: DataFrame, classes: DataFrame) -> DataFrame:
     """MITE and share by request class; a request in k classes gives each 1/k, one in none is "unclassified".
 
-    ``classes`` are (user_message_id, class); names are trimmed, lower-cased, without closing punctuation.
+    ``classes`` are (user_message_id, class); names are trimmed, lower-cased, without closing punctuation. A request's classes are few.
     """
     name = F.regexp_replace(F.regexp_replace(F.lower(F.trim("class")), r"\s+", " "), r"[.:;]+$", "")
-    named = classes.select("user_message_id", name.alias("class")).where("class <> ''").distinct()
-    joined = segments.where("calls > 0").join(named, "user_message_id", "left").withColumn("_k", F.count("*").over(Window.partitionBy("session_id", "ordinal")))
-    sums = joined.groupBy(F.coalesce("class", F.lit("unclassified")).alias("class")).agg(F.sum(F.col("mite") / F.col("_k")).alias("mite"), F.count("*").alias("requests"))
+    named = classes.select("user_message_id", name.alias("class")).where("class <> ''").groupBy("user_message_id").agg(F.collect_set("class").alias("_classes"))
+    given = F.coalesce("_classes", F.array(F.lit("unclassified")))
+    joined = segments.where("calls > 0").join(named, "user_message_id", "left").select((F.col("mite") / F.size(given)).alias("mite"), F.explode(given).alias("class"))
+    sums = joined.groupBy("class").agg(F.sum("mite").alias("mite"), F.count("*").alias("requests"))
     return sums.withColumns({"share": F.round(F.try_divide(F.col("mite"), F.sum("mite").over(Window.partitionBy())), 6), "mite": F.round("mite", 6)})
 
 

@@ -117,11 +117,16 @@ def groups(failures: DataFrame, threshold: int = 3) -> DataFrame:
     """
     by = ("session_id", "axis", "class_id", "tool")
     rows = failures.select("session_id", "axis", F.col("failure.class_id").alias("class_id"), F.coalesce("tool", F.lit("")).alias("tool"), F.col("failure.cause").alias("cause"), normalised(F.col("text")).alias("print"), "cost_usd")
-    inner = rows.groupBy(*by, "cause").agg(F.count("*").alias("n"), F.collect_set("print").alias("prints"), F.sum("cost_usd").alias("cost"), F.count("cost_usd").alias("priced"))
-    out = inner.groupBy(*by).agg(
+    # rows of a kind are counted before anything meets, so a group's texts are never gathered
+    kinds = rows.groupBy(*by, "cause", "print").agg(F.count("*").alias("n"), F.sum("cost_usd").alias("cost"), F.count("cost_usd").alias("priced"))
+    prints = kinds.select(*by, "print").distinct().groupBy(*by).agg(F.count("print").cast("int").alias("distinct_errors"))
+    causes = kinds.groupBy(*by, "cause").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.sum("priced").alias("priced"))
+    out = causes.groupBy(*by).agg(
         F.sum("n").alias("n_failures"), F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "cause"))), lambda x: F.concat_ws(":", x["cause"], (-x["m"]).cast("string"))).alias("causes"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("prints")))).alias("distinct_errors"), F.round(F.sum("cost"), 6).alias("cost_usd"), F.sum("priced").alias("priced"),
+        F.round(F.sum("cost"), 6).alias("cost_usd"), F.sum("priced").alias("priced"),
     )
+    same = [out[c].eqNullSafe(prints[c]) for c in by]
+    out = out.join(prints, same[0] & same[1] & same[2] & same[3]).select(*[out[c] for c in by], "n_failures", "causes", "distinct_errors", "cost_usd", "priced")
     worth = (F.col("n_failures") >= threshold) & ~F.col("class_id").isin(*INACTIONABLE)
     return out.withColumn("confidence", F.when(worth, F.round(F.least(F.lit(0.9), 0.6 + 0.05 * (F.col("n_failures") - threshold)), 6)))
 

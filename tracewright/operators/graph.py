@@ -58,15 +58,17 @@ def count_property(nodes: DataFrame, prop: str) -> DataFrame:
 
 
 def find(nodes: DataFrame, prefix: str) -> DataFrame:
-    """Nodes whose output key starts with ``prefix``, with ``is_unique``."""
+    """Nodes whose output key starts with ``prefix``, with ``is_unique``: whether there is one."""
     hits = nodes.where(F.col("output_key").startswith(prefix))
-    return hits.withColumn("is_unique", F.count("*").over(Window.partitionBy(F.lit(1))) == 1)
+    # one row, counted by partial sums
+    one = hits.agg((F.count("*") == 1).alias("is_unique"))
+    return hits.crossJoin(F.broadcast(one))
 
 
 def node_stats(nodes: DataFrame) -> DataFrame:
     """Nodes by kind, by analyzer and in all (grouping sets): (analyzer_id, node_kind, n, cost_usd)."""
-    nodes.createOrReplaceTempView("_stats_nodes")
-    return nodes.sparkSession.sql("SELECT analyzer_id, node_kind, count(*) AS n, round(sum(cost_usd), 4) AS cost_usd FROM _stats_nodes GROUP BY GROUPING SETS ((analyzer_id), (node_kind), ())")
+    sets = [[F.col("analyzer_id")], [F.col("node_kind")], []]
+    return nodes.groupingSets(sets, "analyzer_id", "node_kind").agg(F.count("*").alias("n"), F.round(F.sum("cost_usd"), 4).alias("cost_usd"))
 
 
 def coverage(sessions: DataFrame, analyzers: DataFrame, runs: DataFrame, nodes: DataFrame) -> DataFrame:

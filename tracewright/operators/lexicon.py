@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import pandas as pd
 import regex
@@ -48,15 +49,14 @@ def words_of(text: str | None) -> list[str]:
     return [w for _, w in sorted(found + [(m.start(), m[0]) for m in EMOJI.finditer(body)])]
 
 
+def _capital(word: str) -> bool:
+    return len(word) > 1 and word.isupper() and word == word.upper()
+
+
 def shouts(body: str) -> bool:
-    """Two capitalised words in a row, one of them long, or capitals pressed against ? or !."""
-    run = longest = 0
-    for m in CASED.finditer(body):
-        caps = len(m[0]) >= 2 and m[0].upper() == m[0] and m[0].lower() != m[0]
-        run, longest = (run + 1, max(longest, len(m[0]))) if caps else (0, 0)
-        if run >= 2 and longest >= SHOUT:
-            return True
-    return PRESSED.search(body) is not None
+    """Neighbouring words in capitals, one of the two at least ``SHOUT`` long, or capitals pressed against ? or !."""
+    listed = CASED.findall(body)
+    return any(len(max(two, key=len)) >= SHOUT and all(map(_capital, two)) for two in pairwise(listed)) or PRESSED.search(body) is not None
 
 
 def markers_of(text: str | None) -> list[str]:

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def message_stats(messages: DataFrame) -> DataFrame:
     """Messages and sessions by role, with a total row (role null): grouping sets in place of a scan for each figure."""
-    messages.createOrReplaceTempView("_stats_messages")
-    return messages.sparkSession.sql(
-        "SELECT role, count(*) AS n_messages, count(DISTINCT session_id) AS n_sessions, sum(length(content_text)) AS n_chars, count_if(content_text IS NULL OR content_text = '') AS n_empty"
-        " FROM _stats_messages GROUP BY GROUPING SETS ((role), ())"
-    )
+    empty = F.count_if(F.coalesce("content_text", F.lit("")) == "")
+    return messages.groupingSets([[F.col("role")], []], "role").agg(F.count("*").alias("n_messages"), F.countDistinct("session_id").alias("n_sessions"), F.sum(F.length("content_text")).alias("n_chars"), empty.alias("n_empty"))
 
 
 def token_stats(billed: DataFrame, source: str = "source") -> DataFrame:
@@ -36,5 +33,14 @@ def status_counts(proposals: DataFrame) -> DataFrame:
 
 
 def accounting(outcomes: DataFrame, examples: int = 3) -> DataFrame:
-    """(analyzer_id, outcome, n, examples): counts of run outcomes with a few ids, the least ones."""
-    return outcomes.groupBy("analyzer_id", "outcome").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("unit_id")), 1, examples).alias("examples"))
+    """(analyzer_id, outcome, n, examples): counts of run outcomes with a few ids, the least ones.
+
+    Ranked rows are cut off in each task before they are shuffled, so no group's ids meet.
+    """
+    by = ["analyzer_id", "outcome"]
+    counts = outcomes.groupBy(*by).agg(F.count("*").alias("n"))
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy("unit_id"))
+    few = outcomes.where("unit_id is not null").select(*by, "unit_id").distinct().withColumn("_nth", nth).where(F.col("_nth") <= examples)
+    few = few.groupBy(*by).agg(F.array_sort(F.collect_list("unit_id")).alias("_few"))
+    same = [counts[c].eqNullSafe(few[c]) for c in by]
+    return counts.join(few, same[0] & same[1], "left").select(*[counts[c] for c in by], "n", F.coalesce("_few", F.array().cast("array<string>")).alias("examples"))

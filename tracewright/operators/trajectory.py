@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators import shell
+
 
 @dataclass(frozen=True)
 class Trajectory:
@@ -31,35 +33,36 @@ def numbered(calls: DataFrame, *order: str) -> DataFrame:
     return calls.withColumn("ord", (F.row_number().over(Window.partitionBy("session_id").orderBy(*order)) - 1).cast("int"))
 
 
-def islands(calls: DataFrame, *same: Column | str) -> DataFrame:
+def islands(calls: DataFrame, *same: Column | str, run: str = "run") -> DataFrame:
     """``calls`` with ``run``: the number of the maximal run of equal ``same`` it lies in."""
     w = Window.partitionBy("session_id").orderBy("ord")
     key = F.struct(*same)
-    return calls.withColumn("_new", (~F.lag(key).over(w).eqNullSafe(key)).cast("int")).withColumn("run", F.sum("_new").over(w).cast("int")).drop("_new")
+    return calls.withColumn("_new", (~F.lag(key).over(w).eqNullSafe(key)).cast("int")).withColumn(run, F.sum("_new").over(w).cast("int")).drop("_new")
 
 
-def _runs(calls: DataFrame) -> DataFrame:
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("ord", "call_id"))), lambda x: x["call_id"])
-    return calls.groupBy("session_id", "run").agg(
-        F.min("ord").alias("first_ord"), F.count("*").cast("int").alias("n"), F.min_by("tool", "ord").alias("tool"), F.min_by("args", "ord").alias("args"),
-        F.bool_and("is_error").alias("all_failed"), F.bool_and("read_only").alias("all_read"), F.sum("cost_usd").alias("cost_usd"), ids.alias("call_ids"),
-    )
+def _priced(cost: Column) -> Column:
+    """A sum of costs; null if none is recorded or they come to nothing."""
+    return F.when(cost > 0, cost)
 
 
 def loops(calls: DataFrame, config: Trajectory = Trajectory()) -> DataFrame:
     """Stuck loops (no call of the run succeeds) and polling loops (all read), of runs of the same tool, subcommand and target.
 
-    A run that polls is not reported as stuck too.
+    A run all of whose calls poll is not reported as stuck too. Stretches that read are parts of a run, so one
+    numbering of runs and parts and two folds, all by session, give both.
     """
-    runs = _runs(islands(calls, *SAME, "read_only"))
-    stuck = _runs(islands(calls, *SAME)).where(F.col("all_failed") & (F.col("n") >= config.stuck_min))
-    polling = runs.where(F.col("all_read") & (F.col("n") >= config.polling_min))
-    polled = polling.select("session_id", F.explode("call_ids").alias("call_id"))
-    # a stuck run goes if all its calls are polled
-    each = stuck.select("session_id", "run", F.explode("call_ids").alias("call_id"))
-    left = each.join(polled, ["session_id", "call_id"], "left_anti").select("session_id", "run").distinct()
-    out = lambda df, name: df.select("session_id", F.lit(name).alias("pattern"), "first_ord", "tool", "args", "n", "call_ids", "cost_usd")
-    return out(stuck.join(left, ["session_id", "run"], "left_semi"), "stuck-loop").union(out(polling, "polling-loop"))
+    parts = islands(islands(calls, *SAME), *SAME, "read_only", run="part").groupBy("session_id", "run", "part").agg(
+        F.min("ord").alias("first_ord"), F.count("*").cast("int").alias("n"), F.min_by("tool", "ord").alias("tool"), F.min_by("args", "ord").alias("args"), F.bool_and("is_error").alias("failed"),
+        F.bool_and("read_only").alias("read"), F.sum("cost_usd").alias("cost_usd"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "call_id"))), lambda x: x["call_id"]).alias("call_ids"),
+    )
+    parts = parts.withColumn("polls", F.col("read") & (F.col("n") >= config.polling_min))
+    found = lambda name: F.struct(F.lit(name).alias("pattern"), "first_ord", "tool", "args", "n", "call_ids", _priced(F.col("cost_usd")).alias("cost_usd"))
+    runs = parts.groupBy("session_id", "run").agg(
+        F.sum("n").cast("int").alias("n"), F.min_by("tool", "first_ord").alias("tool"), F.min_by("args", "first_ord").alias("args"), F.bool_and("failed").alias("failed"), F.bool_and("polls").alias("polls"), F.sum("cost_usd").alias("cost_usd"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first_ord", "call_ids"))), lambda x: x["call_ids"])).alias("call_ids"), F.collect_list(F.when(F.col("polls"), found("polling-loop"))).alias("polling"), F.min("first_ord").alias("first_ord"),
+    )
+    stuck = F.col("failed") & (F.col("n") >= config.stuck_min) & ~F.col("polls")
+    return runs.select("session_id", F.explode(F.array_compact(F.concat(F.array(F.when(stuck, found("stuck-loop"))), "polling"))).alias("f")).select("session_id", "f.*")
 
 
 def _inverse_key() -> Column:
@@ -97,7 +100,7 @@ def oscillations(calls: DataFrame, config: Trajectory = Trajectory(), key: Colum
         .groupBy("session_id", "ord", "call_id", "b_ord", "b_id", "tool", "args", "b_args", "cost_usd", "b_cost")
         .agg(F.min(F.struct("c_ord", "c_id", "c_cost")).alias("c"))
     )
-    cost = lambda *cs: F.when(F.coalesce(*cs).isNotNull(), sum((F.coalesce(c, F.lit(0.0)) for c in cs), F.lit(0.0)))
+    cost = lambda *cs: _priced(sum((F.coalesce(c, F.lit(0.0)) for c in cs), F.lit(0.0)))
     two = pairs.where(~switch & (F.col("target") == F.col("b_target")) & (F.col("target") != "") & (F.col("args") != F.col("b_args"))).select(
         "session_id", F.lit("oscillation").alias("pattern"), F.col("ord").alias("first_ord"), "tool", F.concat("args", F.lit(" ↔ "), "b_args").alias("args"), F.lit(2).alias("n"),
         F.array("call_id", "b_id").alias("call_ids"), cost(F.col("cost_usd"), F.col("b_cost")).alias("cost_usd"),
@@ -114,7 +117,13 @@ def preflight_gaps(calls: DataFrame, directory: Column, makes: Column) -> DataFr
     marked = calls.withColumns({"_dir": directory, "_made": makes})
     made = marked.where("_made is not null").groupBy("session_id", F.col("_made").alias("_dir")).agg(F.min("ord").alias("_first"))
     need = marked.where("is_error and _dir is not null and _dir <> '.'").join(made, ["session_id", "_dir"], "left").where("_first is null or _first > ord")
-    return need.select("session_id", F.lit("pre-flight-gap").alias("pattern"), F.col("ord").alias("first_ord"), "tool", "args", F.lit(1).alias("n"), F.array("call_id").alias("call_ids"), "cost_usd")
+    return need.select("session_id", F.lit("pre-flight-gap").alias("pattern"), F.col("ord").alias("first_ord"), "tool", "args", F.lit(1).alias("n"), F.array("call_id").alias("call_ids"), _priced(F.col("cost_usd")).alias("cost_usd"))
+
+
+def signals(calls: DataFrame, config: Trajectory = Trajectory()) -> DataFrame:
+    """Loops, oscillations and pre-flight gaps of calls parsed by :mod:`tracewright.operators.shell`."""
+    gaps = preflight_gaps(calls, shell.needs_directory(), shell.makes_directory())
+    return loops(calls, config).unionByName(oscillations(calls, config)).unionByName(gaps)
 
 
 def scores(signals: DataFrame, config: Trajectory = Trajectory()) -> DataFrame:

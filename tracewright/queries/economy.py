@@ -50,10 +50,9 @@ def request_segments(spark, sf_dir):
 
 def class_costs(spark, sf_dir):
     rows = _billed(spark, sf_dir)
-    users = rows.where("role = 'user'")
     # urgent requests have a class less
-    first = users.select(F.col("id").alias("user_message_id"), F.when(F.col("marker") != "1-URGENT", F.col("marker")).otherwise("").alias("class"))
-    classes = first.union(users.select("id", F.concat(F.lit("  "), "model", F.lit(" :"))))
+    named = F.array(F.when(F.col("marker") != "1-URGENT", F.col("marker")).otherwise(""), F.concat(F.lit("  "), "model", F.lit(" :")))
+    classes = rows.where("role = 'user'").select(F.col("id").alias("user_message_id"), F.explode(named).alias("class"))
     return economy.class_costs(economy.request_segments(rows), classes)
 
 

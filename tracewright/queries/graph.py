@@ -73,7 +73,7 @@ def coverage(spark, sf_dir):
     sessions = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("session_id"))
     names = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
     registry = spark.range(len(names)).select(F.col("id").alias("position"), F.element_at(F.array(*map(F.lit, names)), (F.col("id") + 1).cast("int")).alias("analyzer_id"))
-    runs = nodes.where("node_kind = 'error' and run_id = 'run1'").select("session_id", "analyzer_id")
+    runs = nodes.where("node_kind = 'error'").select("session_id", "analyzer_id")
     return graph.coverage(sessions, registry, runs, nodes)
 
 
@@ -188,7 +188,7 @@ ORACLE_SQL = {
     "node_filter": f"{_NODES} SELECT id, session_id, analyzer_id FROM nodes WHERE analyzer_id IN ('1-URGENT', '5-LOW') AND node_kind = 'metric' AND created_at <= '{MOMENT}' AND (retracted_at IS NULL OR retracted_at > '{MOMENT}') AND session_id IN (SELECT c_custkey::VARCHAR FROM customer WHERE c_acctbal > 9000)",
     "identity": f"""{_NODES}, s AS (SELECT from_node_id, {_H.format("'sources(' || string_agg(to_ref_kind || ':' || to_ref_id, '|' ORDER BY to_ref_kind || ':' || to_ref_id) || ')'")} AS source_set_hash FROM edges GROUP BY 1),
 k AS (SELECT *, {_H.format("'input(a|1.0|f|' || source_set_hash || ')'")} AS input_key FROM s) SELECT *, {_H.format("'output(' || input_key || '|{" + chr(34) + "a" + chr(34) + ":1})'")} AS output_key FROM k""",
-    "coverage": f"""{_NODES}, done AS (SELECT session_id, list(DISTINCT analyzer_id) AS have FROM (SELECT session_id, analyzer_id FROM nodes WHERE node_kind = 'error' AND run_id = 'run1' UNION ALL SELECT session_id, analyzer_id FROM live WHERE node_kind <> 'error') GROUP BY 1),
+    "coverage": f"""{_NODES}, done AS (SELECT session_id, list(DISTINCT analyzer_id) AS have FROM (SELECT session_id, analyzer_id FROM nodes WHERE node_kind = 'error' UNION ALL SELECT session_id, analyzer_id FROM live WHERE node_kind <> 'error') GROUP BY 1),
 c AS (SELECT c_custkey::VARCHAR AS session_id, list_filter(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'], lambda x: NOT list_contains(coalesce(have, []), x)) AS missing FROM customer LEFT JOIN done ON session_id = c_custkey::VARCHAR) SELECT session_id, missing, 5 - len(missing)::INT AS n_covered FROM c""",
     "edge_integrity": f"""{_NODES}, f AS (SELECT to_ref_kind, 'source' AS fault FROM edges WHERE from_node_id NOT IN (SELECT id FROM live) UNION ALL SELECT to_ref_kind, 'target' FROM edges WHERE to_ref_kind = 'session' AND to_ref_id NOT IN (SELECT p_partkey::VARCHAR FROM part WHERE p_size > 5)
     UNION ALL SELECT to_ref_kind, 'target' FROM edges WHERE to_ref_kind = 'analysis_node' AND to_ref_id NOT IN (SELECT id FROM nodes)) SELECT to_ref_kind, fault, count(*) AS n FROM f GROUP BY 1, 2""",

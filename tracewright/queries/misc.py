@@ -51,11 +51,10 @@ def sessions_by_source(spark, sf_dir):
 
 
 def search_merged(spark, sf_dir):
-    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    hits = {}
-    for kind, frame, ident in (("document", docs, "doc_id"), ("benchmark", bench, "item_id")):
-        sizes = search.lengths(frame, ident, ("text",))
-        hits[kind] = search.search(search.index(frame, ident, ("text",)), "thth* OR license", *search.statistics(sizes=sizes), sizes)
+    hits, query = {}, "thth* OR license"
+    for kind, name, ident in (("document", "documents", "doc_id"), ("benchmark", "benchmark", "item_id")):
+        frame = table(spark, sf_dir, name)
+        hits[kind] = search.search(search.index(frame, ident, ("text",), query), query, *search.statistics(sizes=search.lengths(frame, ident, ("text",))))
     return search.merged(hits, limit=30)
 
 
@@ -71,7 +70,31 @@ def assertion_fingerprint(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (event_windows, user_visits, digest_lines, digest_segments, reply_acts, runs_by_project, sessions_by_source, search_merged, run_accounting, assertion_fingerprint)}
 
+
+
+def _bm25(kind: str, name: str, ident: str) -> str:
+    """SQL of the hits of "thth* OR license" in a table."""
+    part = "CASE WHEN {tf} > 0 THEN greatest(1e-6, ln((n - {df} + 0.5) / ({df} + 0.5))) * {tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * len(t) / mean)) ELSE 0 END"
+    return f"""{kind}_t AS (SELECT {ident} AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS t FROM {name}), {kind}_s AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM {kind}_t WHERE len(t) > 0),
+{kind}_c AS (SELECT *, len(list_filter(t, lambda x: starts_with(x, 'thth'))) AS a, len(list_filter(t, lambda x: x = 'license')) AS b FROM {kind}_t), {kind}_f AS (SELECT count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM {kind}_c),
+{kind}_h AS (SELECT '{kind}' AS kind, id::VARCHAR AS id, id AS number, round(-({part.format(tf="a", df="da")} + {part.format(tf="b", df="db")}), 6) AS score, 'text' AS field, list_position(list_transform(t, lambda x: starts_with(x, 'thth') OR x = 'license'), true) - 1 AS first FROM {kind}_c, {kind}_s, {kind}_f WHERE a > 0 OR b > 0)"""
+
+
 ORACLE_SQL = {
+    "digest_segments": with_views(
+        f"""{FRICTION}, f AS (SELECT session_id, turn_idx, correction_type, trim(regexp_replace(user_text, '\\s+', ' ', 'g')) AS fu, trim(regexp_replace(assistant_text, '\\s+', ' ', 'g')) AS fa FROM fr),
+ln AS (SELECT session_id, turn_idx, row_number() OVER (PARTITION BY session_id ORDER BY turn_idx) AS k, length('#' || turn_idx || CASE WHEN correction_type IS NOT NULL THEN ' [' || correction_type || ']' ELSE '' END || ' U: ' || CASE WHEN length(fu) > 60 THEN substr(fu, 1, 59) || '…' ELSE fu END || ' A: ' || CASE WHEN length(fa) > 100 THEN substr(fa, 1, 99) || '…' ELSE fa END) AS n FROM f),
+pk(session_id, turn_idx, k, segment, filled) AS (SELECT session_id, turn_idx, k, 0, n FROM ln WHERE k = 1
+  UNION ALL SELECT ln.session_id, ln.turn_idx, ln.k, CASE WHEN filled > 0 AND filled + n > 300 THEN segment + 1 ELSE segment END, CASE WHEN filled > 0 AND filled + n > 300 THEN n ELSE filled + n END FROM pk JOIN ln ON ln.session_id = pk.session_id AND ln.k = pk.k + 1)
+SELECT session_id, turn_idx, CASE WHEN segment < 3 THEN segment END::INT AS segment FROM pk""",
+        "messages",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+    "search_merged": f"""WITH {_bm25("document", "documents", "doc_id")}, {_bm25("benchmark", "benchmark", "item_id")},
+h AS (SELECT * FROM (SELECT * FROM document_h ORDER BY score, number LIMIT 500) UNION ALL SELECT * FROM (SELECT * FROM benchmark_h ORDER BY score, number LIMIT 500))
+SELECT kind, id, score, field, first::INT AS first, greatest(0, (SELECT count(*) FROM document_h) + (SELECT count(*) FROM benchmark_h) - 30)::INT AS omitted FROM h ORDER BY score, kind, id LIMIT 30""",
+    "assertion_fingerprint": """WITH r AS (SELECT (o_custkey % 50)::VARCHAR AS k, o_orderstatus AS v, max(o_orderdate) AS t FROM orders GROUP BY 1, 2),
+l AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t DESC, v DESC) AS n FROM r), a AS (SELECT substr(sha256('term|' || k || '|' || v), 1, 16) AS id FROM l WHERE n = 1)
+SELECT substr(sha256('assertions(' || count(*)::VARCHAR || '|' || coalesce(sum(('0x' || substr(id, 1, 13))::BIGINT), 0)::VARCHAR || ')'), 1, 16) AS fingerprint FROM a""",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
     "user_visits": """WITH g AS (SELECT user_id, ts, (coalesce(ts - lag(ts) OVER w, INTERVAL 1 DAY) > INTERVAL 30 MINUTE)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 v AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS visit FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM v GROUP BY user_id, visit""",

@@ -13,8 +13,7 @@ from tracewright.views import table, with_views
 
 def _searched(spark, sf_dir, query):
     docs = table(spark, sf_dir, "documents")
-    sizes = search.lengths(docs, "doc_id", ("text",))
-    return search.search(search.index(docs, "doc_id", ("text",)), query, *search.statistics(sizes=sizes), sizes)
+    return search.search(search.index(docs, "doc_id", ("text",), query), query, *search.statistics(sizes=search.lengths(docs, "doc_id", ("text",))))
 
 
 def search_words(spark, sf_dir):
@@ -63,7 +62,11 @@ def enrichment_selection(spark, sf_dir):
 
 
 #: Error texts that stand in for those of failed events, by the event's number.
-ERRORS = ("429 too many requests", "bash: line 3: foo: command not found", "Permission denied (publickey)", "fatal: not a git repository 1234", "Traceback (most recent call last): x", "operation aborted", "something else went wrong", "ENOENT: no such file or directory, open '/tmp/a/b/c'", "request timed out after 30s", "")
+ERRORS = (
+    "prompt tokens limit exceeded", "invalid tool input: x", "payment required", "401 unauthorized", "no endpoints found for m", "502 bad gateway", "stream closed", "could not find the exact text", "found 3 occurrences of the text", "blocked: by the hook",
+    "validation failed for field", "unknown tool frobnicate", "secondary rate limit", "connection refused", "deadline exceeded", "make: *** no rule", "usage: tool [-x]", "exited with code 2", "(no output yet)", "x" * 2500 + " command not found",
+    "429 too many requests", "bash: line 3: foo: command not found", "Permission denied (publickey)", "fatal: not a git repository 1234", "Traceback (most recent call last): x", "operation aborted", "something else went wrong", "ENOENT: no such file or directory, open '/tmp/a/b/c'", "request timed out after 30s", "",
+)
 COMMANDS = ("grep foo bar", "ls -la", "diff a b", "make all")
 
 
@@ -130,7 +133,25 @@ def _pick(values: tuple, by: str) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + f"][({by}) % {len(values)} + 1]"
 
 
+_WORDS = r"""list_filter(list_transform(regexp_extract_all(nfc_normalize(coalesce({}, '')), '[\p{{L}}\p{{M}}\p{{N}}]+(?:[''’\-][\p{{L}}\p{{M}}\p{{N}}]+)*'), lambda x: lower(x)), lambda x: length(x) BETWEEN 2 AND 32 AND NOT regexp_matches(x, '[0-9]'))"""
+_TERMS = f"tc AS (SELECT session_id, term, count(*) AS n FROM (SELECT session_id, unnest({_WORDS.format('content_text')}) AS term FROM messages WHERE role IN ('user', 'custom_message')) GROUP BY 1, 2)"
+_LEXICON = f"lx AS (SELECT DISTINCT unnest({_WORDS.format('text')}) AS term FROM benchmark)"
+_CAPS = r"(length({0}) > 1 AND {0} = upper({0}) AND {0} <> lower({0}))"
+
 ORACLE_SQL = {
+    # the shared conversations and benchmark hold prose alone, so words need no stripping of code, paths and addresses
+    "lexicon_terms": with_views(f"""{_TERMS} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, term)::INT AS rank, count(*) OVER (PARTITION BY session_id) AS distinct_terms, sum(n) OVER (PARTITION BY session_id)::BIGINT AS total_words FROM tc) WHERE rank <= 2000""", "messages"),
+    "unjudged_terms": with_views(f"{_TERMS}, {_LEXICON} SELECT term, sum(n)::BIGINT AS n, count(*) AS sessions FROM tc WHERE term NOT IN (SELECT term FROM lx) GROUP BY 1", "messages"),
+    "turn_frustration": with_views(
+        rf"""{FRICTION}, {_LEXICON}, us AS (SELECT term FROM lx WHERE length(term) % 2 = 0 AND length(term) / 10 >= 0.5 AND length(term) <> 4),
+ht AS (SELECT session_id, turn_idx, 0.5 AS weight FROM (SELECT session_id, turn_idx, unnest(list_distinct({_WORDS.format("user_text")})) AS term FROM fr) WHERE term IN (SELECT term FROM us)),
+cw AS (SELECT session_id, turn_idx, user_text AS t, regexp_extract_all(user_text, '[\p{{L}}\p{{M}}'']+') AS w FROM fr),
+mk AS (SELECT session_id, turn_idx, 0.3 AS weight FROM cw WHERE regexp_matches(t, '\p{{Lu}}{{3,}}[^\p{{L}}]*[?!]') OR len(list_filter(range(1, len(w)), lambda i: {_CAPS.format("w[i]")} AND {_CAPS.format("w[i + 1]")} AND greatest(length(w[i]), length(w[i + 1])) >= 5)) > 0
+  UNION ALL SELECT session_id, turn_idx, 0.3 FROM cw WHERE regexp_matches(t, '[?!]{{2,}}')
+  UNION ALL SELECT session_id, turn_idx, 0.3 FROM cw WHERE len(list_filter(range(1, length(t) - 1), lambda i: t[i] = t[i + 1] AND t[i] = t[i + 2] AND regexp_matches(t[i], '\p{{L}}'))) > 0)
+SELECT session_id, turn_idx, count(*) AS signals, round(sum(weight), 6)::DOUBLE AS weight FROM (SELECT * FROM ht UNION ALL SELECT * FROM mk) GROUP BY 1, 2""",
+        "messages",
+    ),
     "enrichment_selection": with_views(
         f"""{FRICTION}, s AS (SELECT *, round(friction_score + length(user_text) % 3 / 4, 6)::DOUBLE AS rank_score FROM fr),
 k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY rank_score DESC, turn_idx) AS rank, count(*) OVER (PARTITION BY session_id) AS n FROM s) SELECT session_id, turn_idx, rank_score, rank::INT AS rank FROM k WHERE rank <= least(40, greatest(1, round(0.2 * n)))""",
@@ -140,6 +161,10 @@ k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY rank_score D
 SELECT doc_id, round(-({_PART.format(df="da", tf="a")} + {_PART.format(df="db", tf="b")}), 6) AS score FROM c, st, f WHERE a > 0 AND b > 0""",
     "search_phrase": f"""WITH {_TOKENS}, c AS (SELECT *, list_filter(range(len(t)), lambda k: t[k + 1] = 'general' AND t[k + 2] = 'public' AND t[k + 3] = 'license') AS p FROM tok), f AS (SELECT count(*) FILTER (len(p) > 0) AS d FROM c)
 SELECT doc_id, round(-({_PART.format(df="d", tf="len(p)")}), 6) AS score, p[1]::INT AS first FROM c, st, f WHERE len(p) > 0 AND NOT list_contains(t, 'rights')""",
+    "search_snippets": r"""WITH c AS (SELECT doc_id, regexp_extract_all(text, '[^\p{L}\p{N}]*[\p{L}\p{N}]+') AS p, list_position(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)), 'mit') - 1 AS first FROM documents),
+s AS (SELECT *, greatest(0, first - 8) AS start FROM c WHERE first >= 0),
+m AS (SELECT *, array_to_string(list_transform(list_slice(p, start + 1, start + 16), lambda x, k: CASE WHEN k - 1 + start = first THEN regexp_replace(x, '([\p{L}\p{N}]+)$', '⟦\1⟧') ELSE x END), '') AS body FROM s)
+SELECT doc_id, CASE WHEN start > 0 THEN '…' ELSE '' END || regexp_replace(body, '^[^\p{L}\p{N}⟦]+', '') || CASE WHEN start + 16 < len(p) THEN '…' ELSE '' END AS snippet FROM m""",
     "search_boolean": f"""WITH {_TOKENS}, c AS (SELECT *, list_filter(range(len(t)), lambda k: t[k + 1] = 'public') AS p, list_filter(range(len(t)), lambda k: t[k + 1] = 'version') AS v FROM tok)
 SELECT doc_id FROM c WHERE (len(list_filter(t, lambda x: starts_with(x, 'licen'))) > 0 OR len(list_filter(p, lambda a: len(list_filter(v, lambda b: abs(a - b) <= 5)) > 0)) > 0) AND NOT list_contains(t, 'apache')""",
     "failure_groups": f"""WITH e AS (SELECT user_id % 20 AS session_id, CASE WHEN event_id % 2 = 0 THEN 'turn' ELSE 'tool' END AS axis, {_pick(ERRORS, "event_id")} AS text, {_pick(COMMANDS, "event_id // 10")} AS command, CASE WHEN event_id % 3 = 0 THEN value END AS cost_usd FROM events WHERE event_type = 'error'),

@@ -1,7 +1,7 @@
 """Readers of recorded conversations: two dialects of JSON lines, and delegated runs' metadata.
 
-Files are read whole, one row each, and split in the JVM, so lines keep their
-numbers; lines are parsed as VARIANT, since contents are text or arrays. Lines
+Files are read by lines, so a large transcript is many splits; lines get their numbers from the splits'
+places in the file. They are parsed as VARIANT, since contents are text or arrays. Lines
 that do not parse are skipped. The first row of an id in discovery order stands for it.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 EXCERPT = 200
@@ -37,24 +37,33 @@ def project_name(directory: Column, user: str) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(out.otherwise(directory), "[-/]+$", ""), F.lit("")), F.lit("workspace"))
 
 
-def files(spark: SparkSession, path: str, user: str = "user") -> DataFrame:
-    """(file_path, project, stem, modified, line_no, line) of ``path/<project>/<file>.jsonl``; temporary folders' projects are skipped."""
-    raw = spark.read.text(f"{path}/*/*.jsonl", wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
-    return _lines(raw, user).where(~F.col("directory").contains("var-folders")).drop("directory")
+def files(spark: SparkSession, path: str, user: str = "user", projects: tuple[str, ...] = (), since: str | None = None) -> DataFrame:
+    """(file_path, project, stem, modified, line_no, line) of ``path/<project>/<file>.jsonl``; temporary folders' projects are skipped.
 
+    ``projects`` (names of folders) and ``since`` (files modified after that time, ISO 8601 in the session's time zone) hold before anything is read.
+    """
+    folder = "{" + ",".join(projects) + "}" if projects else "*"
+    return _lines(_raw(spark, since).text(f"{path}/{folder}/*.jsonl", lineSep="\n"), user).where(~F.col("directory").contains("var-folders")).drop("directory")
 
-def nested_files(spark: SparkSession, path: str, user: str = "user") -> DataFrame:
+
+def nested_files(spark: SparkSession, path: str, user: str = "user", since: str | None = None) -> DataFrame:
     """As :func:`files`, for the sessions of delegated runs below ``run-N`` folders, with ``parent_session`` and ``run_no`` from the path."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "session.jsonl").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
+    raw = _raw(spark, since).option("recursiveFileLookup", "true").option("pathGlobFilter", "session.jsonl").text(path, lineSep="\n")
     runs = _lines(raw, user).where(F.col("file_path").rlike(r"/run-\d+/session\.jsonl$")).drop("directory")
     return runs.withColumns({"parent_session": F.regexp_extract("file_path", r"([^/]+)/(?:[^/]+/)?run-\d+/session\.jsonl$", 1), "run_no": F.regexp_extract("file_path", r"/run-(\d+)/", 1).cast("int")})
 
 
+def _raw(spark: SparkSession, since: str | None) -> DataFrameReader:
+    return spark.read if since is None else spark.read.option("modifiedAfter", since)
+
+
 def _lines(raw: DataFrame, user: str) -> DataFrame:
+    meta = {"file_path": F.col("_metadata.file_path"), "modified": F.col("_metadata.file_modification_time"), "_block": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id()}
+    number = F.row_number().over(Window.partitionBy("file_path").orderBy("_block", "_row")) - 1
     at = F.split("file_path", "/")
-    named = raw.withColumns({"directory": F.element_at(at, -2), "stem": F.regexp_replace(F.element_at(at, -1), r"\.jsonl$", "")})
-    lines = named.select("file_path", "directory", project_name(F.col("directory"), user).alias("project"), "stem", "modified", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    return lines.where(F.trim("line") != "")
+    named = raw.select(F.col("value").alias("line"), *[c.alias(n) for n, c in meta.items()]).withColumn("line_no", number).where(F.trim("line") != "")
+    named = named.withColumns({"directory": F.element_at(at, -2), "stem": F.regexp_replace(F.element_at(at, -1), r"\.jsonl$", "")})
+    return named.select("file_path", "directory", project_name(F.col("directory"), user).alias("project"), "stem", "modified", "line_no", "line")
 
 
 def _usage(input_: str, output: str, read: str, write: str, total: str | None) -> Column:
@@ -119,7 +128,10 @@ def claude_messages(lines: DataFrame) -> DataFrame:
     parsed = lines.withColumn("v", F.try_parse_json("line")).where("v is not null")
     kind, parts = _get("$.type"), _get("$.message.content", _PART)
     rows = parsed.where(kind.isin("user", "assistant") & _get("$.uuid").isNotNull() & ~F.coalesce(_get("$.isMeta", "boolean"), F.lit(False))).withColumns({"kind": kind, "parts": parts})
-    names = rows.where("kind = 'assistant'").select("file_path", F.explode(_calls(F.col("parts"), "tool_use", "input", True)).alias("c")).groupBy("file_path").agg(F.map_from_entries(F.collect_set(F.struct("c.id", "c.name"))).alias("_names"))
+    # the first call of an id names it; calls without an id name nothing
+    named = rows.where("kind = 'assistant'").select("file_path", "line_no", F.posexplode(_calls(F.col("parts"), "tool_use", "input", True)).alias("k", "c")).where("c.id <> ''")
+    named = named.groupBy("file_path", "c.id").agg(F.min_by("c.name", F.struct("line_no", "k")).alias("name"))
+    names = named.groupBy("file_path").agg(F.map_from_entries(F.collect_list(F.struct("id", "name"))).alias("_names"))
     inner = lambda p: F.coalesce(F.array_join(F.transform(F.filter(F.try_variant_get(p["content"], "$", "array<struct<type:string,text:string>>"), lambda c: c["type"] == "text"), lambda c: c["text"]), "\n"), F.try_variant_get(p["content"], "$", "string"), F.lit(""))
     results = F.transform(F.filter("parts", lambda p: p["type"] == "tool_result"), lambda p: _result(p["tool_use_id"], F.try_element_at("_names", F.coalesce(p["tool_use_id"], F.lit(""))), p["is_error"], inner(p)))
     texts = F.filter(F.transform("parts", lambda p: F.when(p["type"] == "text", p["text"]).when(p["type"] == "tool_result", F.nullif(inner(p), F.lit("")))), lambda t: t.isNotNull())

@@ -11,17 +11,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as messages; sessions are conversations."""
+    """Conversations as messages; sessions are conversations. The lengths of answers stand in for what their tool calls did."""
+    mine = lambda c: F.when((F.col("role") == "assistant") & F.col("text").isNotNull(), c).otherwise(0).cast("int")
+    n = F.length("text")
     return table(spark, sf_dir, "conversations").select(
         F.concat_ws(":", "conv_id", "turn").alias("id"), F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content_text"),
-        F.lit(0).alias("n_calls"), F.lit(0).alias("n_failures"), F.lit(0).alias("result_bytes"),
+        mine(n % 3).alias("n_calls"), mine(F.when(n % 7 == 0, 1 + n % 4).otherwise(0)).alias("n_failures"), mine(n * 20).alias("result_bytes"),
     )
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as tool calls; sessions are users. Views and clicks read; errors fail; purchases have a cost."""
     return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("session_id"), "ts", F.col("event_id").alias("call_id"), F.col("event_type").alias("tool"), F.lit("").alias("subcommand"),
+        F.col("user_id").alias("session_id"), "ts", F.col("event_id").alias("call_id"), F.col("event_type").alias("tool"),
+        F.when(F.col("event_type") == "view", F.concat(F.lit("view "), (F.get_json_object("props", "$.k").cast("int") % 2).cast("string"))).otherwise("").alias("subcommand"),
         (F.get_json_object("props", "$.k").cast("int") % 3).cast("string").alias("target"), F.get_json_object("props", "$.k").alias("args"),
         F.col("event_type").isin("view", "click").alias("read_only"), (F.col("event_type") == "error").alias("is_error"),
         F.when(F.col("event_type") == "purchase", F.col("value")).alias("cost_usd"),
@@ -44,8 +47,8 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same views for DuckDB.
 SQL = {
-    "messages": "SELECT conv_id || ':' || turn AS id, conv_id AS session_id, turn AS seq, role, text AS content_text, 0 AS n_calls, 0 AS n_failures, 0 AS result_bytes FROM conversations",
-    "calls": """SELECT user_id AS session_id, ts, event_id AS call_id, event_type AS tool, '' AS subcommand, ((json_extract_string(props, '$.k')::INT) % 3)::VARCHAR AS target,
+    "messages": "SELECT conv_id || ':' || turn AS id, conv_id AS session_id, turn AS seq, role, text AS content_text, CASE WHEN role = 'assistant' AND text IS NOT NULL THEN length(text) % 3 ELSE 0 END AS n_calls, CASE WHEN role = 'assistant' AND length(text) % 7 = 0 THEN 1 + length(text) % 4 ELSE 0 END AS n_failures, CASE WHEN role = 'assistant' AND text IS NOT NULL THEN length(text) * 20 ELSE 0 END AS result_bytes FROM conversations",
+    "calls": """SELECT user_id AS session_id, ts, event_id AS call_id, event_type AS tool, CASE WHEN event_type = 'view' THEN 'view ' || (json_extract_string(props, '$.k')::INT % 2) ELSE '' END AS subcommand, ((json_extract_string(props, '$.k')::INT) % 3)::VARCHAR AS target,
         json_extract_string(props, '$.k') AS args, event_type IN ('view', 'click') AS read_only, event_type = 'error' AS is_error, CASE WHEN event_type = 'purchase' THEN value END AS cost_usd FROM events""",
     "usage": """SELECT o_custkey AS session_id, o_orderdate AS ts, l_orderkey, l_linenumber, l_partkey, l_partkey AS provider_message_id, l_returnflag || l_linestatus AS model, o_orderpriority AS marker,
         l_quantity::BIGINT AS input, round(l_discount * 100)::BIGINT AS output, CASE WHEN l_linenumber % 2 = 0 THEN l_quantity::BIGINT * 3 ELSE 0 END AS cache_read, round(l_tax * 100)::BIGINT AS cache_write,
