@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import math
-import re
-import tempfile
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.session import cut, use_checkpoints
+
 #: A word: a maximal run of code points other than space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,22 +20,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Take the cluster's checkpoint folder; a local master alone may make one of its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and stored reliably, its lineage cut."""
-    use_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` stored, and marked for broadcast only if its counted rows are within ``limit``."""
     stored = cut(df)
@@ -86,12 +71,18 @@ _HELD: dict[object, object] = {}
 def held(owner: object, make: Callable[[], object]) -> object:
     """The tables that a Python worker keeps for an operator from task to task.
 
-    Workers outlive stages, so what another operator left goes first: a worker
+    Workers outlive stages, so what another operator left goes first, back to the machine: a worker
     holds the tables of one operator at a time.
     """
     if owner not in _HELD:
         _HELD.clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library; others do without
+        if trim is not None:
+            trim(0)
         _HELD[owner] = make()
     return _HELD[owner]
+
+
+__all__ = ["BROADCAST_ROWS", "WORD", "apart", "back", "bucket_digits", "cut", "ddl", "held", "hex_bucket", "quoted", "small_side", "use_checkpoints", "word_count"]
