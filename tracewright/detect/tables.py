@@ -142,8 +142,15 @@ def column_profiles(fields: DataFrame) -> DataFrame:
     return fields.select(F.col("session_id").cast("string"), F.col("message_id").cast("string"), "field", "text").mapInArrow(run, schema)
 
 
+def best_classes(profiles: DataFrame) -> DataFrame:
+    """Columns that hold personal data, each with its best score over the tables of a message that have it, and what gave it."""
+    told = profiles.where((F.col("verdict") != "below-threshold") & (F.coalesce("entity_type", F.lit("")) != "") | (F.col("verdict") == "label-only"))
+    best = F.max_by(F.struct("kind", "line", "label", "entity_type", "ratio", "score", "verdict"), F.struct("score", "ratio", -F.col("line"))).alias("b")
+    return told.groupBy("session_id", "message_id", "field", "column").agg(best).select("session_id", "message_id", "field", "column", "b.*")
+
+
 def profile_report(profiles: DataFrame) -> DataFrame:
     return profiles.groupBy("verdict", "label", "entity_type").agg(F.count("*").alias("columns"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
-__all__ = ["RECOGNIZERS", "Fragment", "column_profiles", "fragments", "labels", "profile", "profile_report"]
+__all__ = ["RECOGNIZERS", "Fragment", "best_classes", "column_profiles", "fragments", "labels", "profile", "profile_report"]

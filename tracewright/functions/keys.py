@@ -43,6 +43,13 @@ def assertion_id(kind: Column, key: Column, verdict: Column) -> Column:
     return address(F.concat_ws("|", kind, key, verdict))
 
 
+def uuid7() -> Column:
+    """A UUID of version 7: milliseconds since 1970, then random digits; new for each row, so store what it gives."""
+    milliseconds = F.lpad(F.lower(F.hex(F.unix_millis(F.current_timestamp()))), 12, "0")
+    rest = F.regexp_replace(F.uuid(), "-", "")
+    return F.concat(F.substring(milliseconds, 1, 8), F.lit("-"), F.substring(milliseconds, 9, 4), F.lit("-7"), F.substring(rest, 14, 3), F.lit("-"), F.substring(rest, 17, 4), F.lit("-"), F.substring(rest, 21, 12))
+
+
 def canonical(text: str | None) -> str | None:
     """JSON with keys sorted at every level, whole numbers without a fraction, no spaces; text that is not JSON stays."""
     if text is None:

@@ -191,6 +191,11 @@ def retracted(nodes: DataFrame) -> DataFrame:
     return nodes.where("retracted_at is not null").groupBy("retracted_by_run", "analyzer_id").agg(F.count("*").alias("n"), F.min("retracted_at").alias("first"), F.max("retracted_at").alias("last"))
 
 
+def retracted_by(nodes: DataFrame, by: str) -> DataFrame:
+    """The nodes that a collection retracted."""
+    return nodes.where(F.col("retracted_by_run") == by)
+
+
 def backfill(covered: DataFrame) -> DataFrame:
     """(session_id, analyzer_id) still to be run, from :func:`coverage`."""
     return covered.select("session_id", F.explode("missing").alias("analyzer_id"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators import shell
+from tracewright.session import cut
 
 
 @dataclass(frozen=True)
@@ -121,7 +122,8 @@ def preflight_gaps(calls: DataFrame, directory: Column, makes: Column) -> DataFr
 
 
 def signals(calls: DataFrame, config: Trajectory = Trajectory()) -> DataFrame:
-    """Loops, oscillations and pre-flight gaps of calls parsed by :mod:`tracewright.operators.shell`."""
+    """Loops, oscillations and pre-flight gaps of calls parsed by :mod:`tracewright.operators.shell`, which are computed once for all detectors."""
+    calls = cut(calls)
     gaps = preflight_gaps(calls, shell.needs_directory(), shell.makes_directory())
     return loops(calls, config).unionByName(oscillations(calls, config)).unionByName(gaps)
 

@@ -24,6 +24,8 @@ class Analyzer:
     depends_on: tuple[str, ...] = ()
     outputs: tuple[str, ...] = ("rows",)
     config: dict = field(default_factory=dict)
+    #: From the same frames, proposals as :mod:`tracewright.operators.advice` makes them.
+    advise: Callable[[dict[str, DataFrame]], DataFrame] | None = None
 
     @property
     def code_hash(self) -> str:

@@ -217,6 +217,8 @@ def preview(name: Column, arguments: Column) -> Column:
     return F.when(F.length(out) > 300, F.concat(F.substring(out, 1, 299), F.lit("…"))).otherwise(out)
 
 
+#: Messages from lines, by dialect.
+DIALECTS: dict[str, Callable[[DataFrame], DataFrame]] = {"pi": pi_messages, "claude": claude_messages}
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pi": lambda s, p: pi_messages(files(s, p)), "claude": lambda s, p: claude_messages(files(s, p))}
 
 
