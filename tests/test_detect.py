@@ -93,3 +93,25 @@ def test_gates(spark):
     mark = scan.fingerprint("hunter2hunter2")
     assert {r.gate for r in scan.gate(found, scan.Gates(allow=(mark,))).where("family = 'detect-secrets'").collect()} == {"allowlisted"}
     assert scan.listed(scan.gate(found), 1).first().omitted == 3
+
+
+def test_a_low_hit_still_covers_what_it_overlaps():
+    # an invalid number of this shape scores below the floor, but what starts inside it is covered by it
+    text = "666-45-6789"
+    hits = list(pii.chosen(text))
+    assert all(over for *_, over in hits) and "US_SSN" not in {r.entity for _, _, r, _, _, over in hits if not over}
+    mark = scan.fingerprint(text)
+    assert [r.entity for _, _, r, _, _, over in pii.chosen(text, deny=frozenset([mark])) if not over] == ["US_SSN"]
+
+
+def test_fences():
+    text = "a\n```demo\nx\n```\nb\n~~~\ny\n~~~\n"
+    assert [filters.fence_around(text, text.index(c)) for c in "axby"] == [None, "demo", None, ""]
+    assert filters.documentation("https://user@api.example.com:80/x") and filters.documentation("//localhost/") and not filters.documentation("https://notexample.com/") and not filters.documentation("https://[bad")
+
+
+def test_best_class_of_a_column(spark):
+    text = "customer_email,x\na@b.org,c@d.org\ne@f.org,g@h.org\n\nsome prose\n\ncustomer_email,x\nno,1\nnope,2\n"
+    fields = spark.createDataFrame([("s", "m", "content_text", text)], "session_id string, message_id string, field string, text string")
+    best = {r.column: (r.verdict, r.score) for r in tables.best_classes(tables.column_profiles(fields)).collect()}
+    assert best["customer_email"][0] == "confirmed" and best["x"][0] == "values-only"

@@ -112,3 +112,33 @@ def test_preview_and_page(spark):
     assert [r[0] for r in df.select(t.preview(F.col("name"), F.col("args"))).collect()] == ["ls -la", "path=x n=1"]
     page = html_page(df, "a<b", rows=1)
     assert "a&lt;b" in page and "1 more rows" in page
+
+
+def test_calls_without_an_id(spark, tmp_path):
+    """Two tools without ids in a file: results of neither can be told, and the file is read."""
+    call = lambda name: {"type": "tool_use", "name": name, "input": {}}
+    write(tmp_path / "p" / "x.jsonl", [
+        {"type": "assistant", "uuid": "a", "message": {"content": [call("Bash"), call("Read")]}},
+        {"type": "assistant", "uuid": "b", "message": {"content": [{"type": "tool_use", "id": "c1", "name": "Grep", "input": {}}, {"type": "tool_use", "id": "c1", "name": "Read", "input": {}}]}},
+        {"type": "user", "uuid": "u", "message": {"content": [{"type": "tool_result", "tool_use_id": "c1", "content": "x"}, {"type": "tool_result", "content": "y"}]}},
+    ])
+    rows = {r.id: r for r in t.read(spark, "claude", str(tmp_path)).collect()}
+    assert [r.toolName for r in rows["u"].tool_results] == ["grep", ""] and [c.name for c in rows["a"].tool_calls] == ["bash", "read"]
+
+
+def test_lines_keep_their_numbers_across_splits(spark, tmp_path):
+    write(tmp_path / "p" / "long.jsonl", [{"type": "session", "id": "s"}, *[{"type": "message", "id": f"m{k}", "message": {"role": "user", "content": "x" * 50}} for k in range(400)], ""])
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        lines = t.files(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 1 or lines.count() == 401
+        rows = t.pi_messages(lines).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert sorted((r.line_no, r.id) for r in rows) == [(k + 1, f"m{k}") for k in range(400)] and {r.seq - r.line_no for r in rows} == {0}
+
+
+def test_projects_and_times_are_chosen_before_reading(spark, pi):
+    assert t.files(spark, pi, projects=("--Users-user--work--app",)).select("stem").distinct().count() == 2
+    assert t.files(spark, pi, since="2999-01-01T00:00:00").count() == 0
