@@ -182,14 +182,14 @@ def test_mix_meets_weights(spark):
     assert out == {"src0": 20_000, "src1": 20_000}  # what src1 lacks goes to its sibling
 
 
-def python_mix(data, weights, epochs, percent, seed=42):
+def python_mix(data, weights, epochs, percent, seed=42, path=lambda r: (r[3] or "", r[2] or "", "all")):
     """Rows and epochs from the budgets of plain Python: whole epochs, then the prefix in the order of the digests."""
     import hashlib
 
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
     leaves = defaultdict(list)
     for r in data:
-        leaves[r[3] or "", r[2] or "", "all"].append((r[0], r[1] or "", len(words(r[1]))))
+        leaves[path(r)].append((r[0], r[1] or "", len(words(r[1]))))
     tokens = {p: sum(t for *_, t in rs) for p, rs in leaves.items()}
     budgets, out = python_budgets(tokens, weights, epochs, percent), Counter()
     for p, rs in leaves.items():

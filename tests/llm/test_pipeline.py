@@ -1,11 +1,14 @@
 """Each stage of the pipeline against plain Python, on its own input."""
 
+import re
 from collections import Counter
 
 import corpus_pipeline
 import public_tokenizers as P
 import pytest
-from edges import empty, frame, sha
+from edges import empty, frame, rows, sha, words
+from test_native import python_line_dedup, python_mix
+from test_rules_and_scans import python_measures
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -29,6 +32,46 @@ def test_quality_keeps_clean_documents(spark, folder):
     assert set(range(60)) <= kept and not kept & {300, 301, 302, 304, 309}
 
 
+def python_rejected(text):
+    """The rules of the policy, straight from their definitions."""
+    n, chars, symbols, dup, repeated, lines, bare, upper = python_measures(text)
+    each = [x for x in (text or "").split("\n") if words(x)]
+    ends = sum(x.rstrip(" \t\r\x0b\x0c").endswith(("...", "…")) for x in each)
+    bullets = sum(x.lstrip(" \t\r\x0b\x0c").startswith(("-", "*", "•")) for x in each)
+    tests = (n < 10, 100 * repeated > 20 * n, 10 * symbols > n, chars < 3 * n, chars > 12 * n, 10 * dup > 3 * lines, 10 * bare > 2 * n, 10 * upper > 4 * chars, 10 * ends > 3 * lines, 10 * bullets > 9 * lines)
+    return any(tests)
+
+
+def test_quality_against_python(spark, folder):
+    more = [(400, "- a b c d e f g h i j k\n* l m n o p q r s t u", "en", "src0", 1), (401, "ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT NINE TEN ELEVEN", "en", "src0", 1), (402, "word " * 12 + "...\nmore words follow here and here", "en", "src0", 1), (403, "so many #### $$$$ %%%% signs in a text of ten words", "en", "src0", 1)]
+    docs = frame(spark).select(*COLUMNS).union(spark.createDataFrame(more, frame(spark).select(*COLUMNS).schema))
+    want = Counter((r.doc_id, r.text) for r in docs.collect() if not python_rejected(r.text))
+    assert Counter((r.doc_id, r.text) for r in corpus_pipeline.quality(spark, docs, folder).collect()) == want
+
+
+def test_line_dedup_against_python(spark, folder):
+    data = [r for r in rows() if r[0] != 305]
+    docs = frame(spark).where("doc_id is null or doc_id <> 305").select(*COLUMNS)
+    got = corpus_pipeline.line_dedup(spark, docs, folder).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter({(d, t): n for (d, t, *_), n in python_line_dedup(data, 0.05, 2, True).items()})
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
+
+
+def test_mixing_against_python(spark, folder):
+    def domain(source):
+        tail = re.search(r"([0-9]{1,9})$", source or "")
+        n = int(tail[1]) if tail else None
+        return "web" if n is not None and n < 10 else "books" if n is not None and n < 15 else "code"
+
+    weights = {"web": 50, "books": 30, "code": 20, "*/en": 50, "*/de": 20, "*/fr": 15, "*/es": 15, "*/*/src0": 2}
+    got = Counter(r.doc_id for r in corpus_pipeline.mixing(spark, frame(spark).select(*COLUMNS), folder).collect())
+    want = python_mix([(r[0], r[1], r[2], r[3], domain(r[3])) for r in rows()], weights, 3, 100, path=lambda r: (r[4], r[2] or "", r[3] or ""))
+    total = Counter()
+    for (d, _), n in want.items():
+        total[d] += n
+    assert got == +total
+
+
 def test_near_dedup(spark, folder):
     kept = Counter(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame(spark).select(*COLUMNS), folder).collect())
     assert kept[100] == 1 and not any(kept[100 + k] for k in range(1, 12)) and all(kept[k] == 1 for k in range(60))
