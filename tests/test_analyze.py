@@ -59,6 +59,8 @@ def test_findings(store):
     signals = {(r.session_id, json.loads(r.content_json)["pattern"]) for r in nodes.where("analyzer_id = 'tool-trajectory' and node_kind = 'finding'").collect()}
     assert signals == {("s1", "stuck-loop"), ("s2", "polling-loop")}
     assert {r.session_id for r in nodes.where("analyzer_id = 'secret-leak' and node_kind = 'finding'").collect()} == {"s1", "s2"}
+    turn = json.loads(nodes.where("analyzer_id = 'turn-pair-core' and node_kind = 'finding' and session_id = 's1' and unit = '0'").first().content_json)
+    assert turn["correction_type"] == "explicit" and turn["correction_text"] and [x["preview"] for x in turn["action_trace"]] == ["make test"] * 4 and turn["error_heads"][0] == {"tool": "bash", "head": "bash: make: command not found"}
     assert not any(TOKEN in r.content_json for r in nodes.where(F.col("analyzer_id").isin(*cli.SECRET_FAMILIES)).collect())
     assert json.loads(nodes.where("analyzer_id = 'session-overview' and node_kind = 'finding' and session_id = 's1'").first().content_json)["n_turns"] == 2
 

@@ -228,10 +228,11 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "p").mkdir()
     lines = [{"type": "session", "id": "s"}, {"type": "message", "id": "m", "message": {"role": "user", "content": "alpha beta"}}]
     (tmp_path / "p" / "a.jsonl").write_text("\n".join(map(json.dumps, lines)))
-    table = str(tmp_path / "messages")
-    main(["sync", "pi", str(tmp_path), table])
-    main(["sync", "pi", str(tmp_path), table])
-    main(["search", table, "alpha"])
+    store = str(tmp_path / "store")
+    main(["sync", store, "pi", str(tmp_path)])
+    main(["sync", store, "pi", str(tmp_path)])
+    main(["search", store, "alpha"])
+    main(["analyzers", store])
     main(["run", "muted_terms", "/root/testdata/sf0.001", "--html", str(tmp_path / "x.html")])
     main(["queries"])
     out = capsys.readouterr().out
@@ -285,3 +286,10 @@ def test_model_analyzers(spark):
     long_ = spark.range(200).select(F.lit("l").alias("session_id"), F.col("id").cast("int").alias("turn_idx"), F.lit("x" * 100).alias("line"))
     lines = digest.lines(df).union(long_)
     assert {r.session_id: r.overview for r in overview.overviews(lines, lambda p: str(len(p.split("\n")))).collect()} == {"s": "2", "l": "4"}
+
+
+def test_correction_text(spark):
+    texts = ["stop using tabs, and be quick", "no thanks", "please use spaces", "revert", "fine work"]
+    rows = spark.createDataFrame([(f"s{k}", 0, x, None, "", 0, 0, 0) for k, x in enumerate(texts)], "session_id string, turn_idx int, user_text string, prior_user_text string, assistant_text string, n_calls int, n_failures int, result_bytes bigint")
+    got = {r.user_text: (r.correction_type, r.correction_text) for r in turns.correction_text(turns.friction(rows)).collect()}
+    assert got == {texts[0]: ("explicit", "tabs, and be quick"), texts[1]: ("explicit", "no thanks"), texts[2]: ("implicit", "spaces"), texts[3]: ("explicit", "revert"), texts[4]: (None, None)}

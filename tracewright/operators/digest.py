@@ -19,6 +19,18 @@ def lines(turns: DataFrame, user: int = 300, assistant: int = 500) -> DataFrame:
     return turns.select("session_id", "turn_idx", body.alias("line"))
 
 
+def enriched(core: DataFrame, labels: DataFrame, signals: DataFrame, acts: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """Turns with all that is known of them: a model's label, signals of frustration, reply acts, tool evidence. What is missing stays null or empty.
+
+    ``labels`` (user_message_id, label), ``signals`` (user_message_id, signal, weight), ``acts`` (user_message_id, acts), ``evidence`` as :func:`tracewright.operators.turns.evidence`.
+    Signals are folded before the join, so each join is one row to one.
+    """
+    felt = signals.groupBy("user_message_id").agg(F.transform(F.array_sort(F.collect_set(F.struct(-F.col("weight"), "signal"))), lambda x: x["signal"]).alias("signals"), F.round(F.sum("weight"), 6).alias("frustration"))
+    out = core.join(labels.dropDuplicates(["user_message_id"]), "user_message_id", "left").join(felt, "user_message_id", "left").join(acts.dropDuplicates(["user_message_id"]), "user_message_id", "left")
+    out = out.withColumns({"signals": F.coalesce("signals", F.array().cast("array<string>")), "frustration": F.coalesce("frustration", F.lit(0.0)), "acts": F.coalesce("acts", F.array().cast("array<string>"))})
+    return out if evidence is None else out.join(evidence, ["session_id", "turn_idx"], "left")
+
+
 def packed(digest: DataFrame, size: int = 6000, most: int = 12) -> DataFrame:
     """``digest`` with ``segment``: lines fill a segment greedily up to ``size`` characters; what lies beyond ``most`` segments has none.
 

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.patterns import LEADING, STRONG, WEAK, matched
+from tracewright.functions.patterns import LEADING, STRONG, WEAK, jvm, matched
 from tracewright.schema import TURN_ROLES
+from tracewright.sources.transcripts import preview
 
 
 @dataclass(frozen=True)
@@ -80,6 +81,43 @@ def friction(turns: DataFrame, config: Friction = Friction()) -> DataFrame:
     return marked.withColumn("high_signal", F.col("friction_score") >= config.high).drop("_again", "_strong", "_weak", "_lead")
 
 
+REST, HEAD = 240, 300
+
+
+def correction_text(turns: DataFrame) -> DataFrame:
+    """:func:`friction` with ``correction_text``: what follows the first pattern found, or the pattern's own words; of a repetition and a leading refusal the text itself. ``REST`` characters at most."""
+    text, first = F.col("user_text"), F.get("correction_patterns", F.lit(0))
+    after = None
+    for p in (*STRONG, *WEAK):
+        hit = F.regexp_extract(text, f"(?s){jvm(p)}", 0)
+        rest = F.trim(F.substr(text, F.instr(text, hit) + F.length(hit)))
+        said = F.when(first == p, F.coalesce(F.nullif(rest, F.lit("")), hit))
+        after = said if after is None else F.coalesce(after, said)
+    return turns.withColumn("correction_text", F.when(F.col("correction_type").isNotNull(), F.substring(F.coalesce(after, text), 1, REST)))
+
+
+def evidence(messages: DataFrame) -> DataFrame:
+    """Per turn, in order: its calls as (tool, preview), the heads of its failed results as (tool, head), and the thinking of its answers.
+
+    ``messages`` have tool_calls, tool_results and content_thinking. (session_id, turn_idx, action_trace, error_heads, thinking_text).
+    """
+    def listed(when: Column, what: Column) -> Column:
+        rows = F.array_sort(F.collect_list(F.when(when, F.struct("seq", what.alias("x")))))
+        return F.transform(rows, lambda r: r["x"])
+
+    calls = F.transform("tool_calls", lambda c: F.struct(c["name"].alias("tool"), preview(c["name"], c["arguments"]).alias("preview")))
+    text = F.trim(F.coalesce("content_text", F.lit("")))
+    head = F.when(F.length(text) > HEAD, F.concat(F.substring(text, 1, HEAD), F.lit("…"))).otherwise(F.nullif(text, F.lit("")))
+    failed = F.transform(F.filter("tool_results", lambda r: r["isError"]), lambda r: F.struct(r["toolName"].alias("tool"), F.col("_head").alias("head")))
+    rows = segments(messages).where("turn_idx >= 0").withColumn("_head", head).withColumns({"_calls": calls, "_failed": failed})
+    speaks = F.col("role") == "assistant"
+    return rows.groupBy("session_id", "turn_idx").agg(
+        F.flatten(listed(speaks & F.col("_calls").isNotNull(), F.col("_calls"))).alias("action_trace"),
+        F.flatten(listed((F.col("role") == "toolResult") & F.col("_failed").isNotNull(), F.col("_failed"))).alias("error_heads"),
+        F.array_join(listed(speaks & F.col("content_thinking").isNotNull(), F.col("content_thinking")), "\n").alias("thinking_text"),
+    )
+
+
 def session_flags(turns: DataFrame) -> DataFrame:
     """Per session: turns, corrections, failing and high-signal turns, and the summary flags."""
     after = F.lead(F.struct("correction_type", "high_signal")).over(Window.partitionBy("session_id").orderBy("turn_idx"))

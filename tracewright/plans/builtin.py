@@ -95,7 +95,8 @@ def routed(messages: DataFrame) -> DataFrame:
 
 
 def turn_pair_core(f: Frames) -> DataFrame:
-    return findings(friction(f["messages"]), F.col("turn_idx"), F.col("message_ids"), ("message_ids", "assistant_text", "prior_user_text"))
+    rows = turns.correction_text(friction(f["messages"])).join(turns.evidence(f["messages"]), ["session_id", "turn_idx"], "left")
+    return findings(rows, F.col("turn_idx"), F.col("message_ids"), ("message_ids", "assistant_text", "prior_user_text", "thinking_text"))
 
 
 def lexicon_candidates(f: Frames) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright import views
+from tracewright.functions.patterns import STRONG, WEAK
 from tracewright.operators import digest, proposals, search, stats, turns
 from tracewright.queries.conversations import _FRICTION as FRICTION
 from tracewright.streaming import ingest
@@ -30,6 +31,16 @@ def digest_segments(spark, sf_dir):
     return digest.packed(lines, size=300, most=3).select("session_id", "turn_idx", "segment")
 
 
+def turn_digest(spark, sf_dir):
+    """Turns joined with labels, signals and acts; lengths of texts stand in for what a model and a lexicon would say."""
+    core = turns.correction_text(turns.friction(turns.turn_pairs(views.messages(spark, sf_dir))))
+    n = F.length("user_text")
+    labels = core.where(n % 2 == 0).select("user_message_id", F.concat(F.lit("label "), (n % 5).cast("string")).alias("label"))
+    signals = core.select("user_message_id", F.explode(F.array_compact(F.array(*[F.when(n % k == 0, F.struct(F.lit(f"by {k}").alias("signal"), F.lit(k / 10).alias("weight"))) for k in (3, 4, 7)]))).alias("s")).select("user_message_id", "s.*")
+    acts = core.where("turn_idx > 0").select("user_message_id", F.array(F.when(n % 3 == 0, "approve").otherwise("ask"), F.lit("reply")).alias("acts"))
+    return digest.enriched(core, labels, signals, acts).select("session_id", "turn_idx", "correction_type", "correction_text", "label", F.array_join("signals", ",").alias("signals"), "frustration", F.array_join("acts", ",").alias("acts"))
+
+
 def reply_acts(spark, sf_dir):
     """Order statuses of a customer's months stand in for acts."""
     rows = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("session_id"), F.date_trunc("year", "o_orderdate").alias("turn_idx")).agg(F.collect_list("o_orderpriority").alias("acts"))
@@ -68,7 +79,7 @@ def assertion_fingerprint(spark, sf_dir):
     return proposals.fingerprint(proposals.upsert(rows))
 
 
-QUERIES = {f.__name__: f for f in (event_windows, user_visits, digest_lines, digest_segments, reply_acts, runs_by_project, sessions_by_source, search_merged, run_accounting, assertion_fingerprint)}
+QUERIES = {f.__name__: f for f in (event_windows, user_visits, digest_lines, digest_segments, turn_digest, reply_acts, runs_by_project, sessions_by_source, search_merged, run_accounting, assertion_fingerprint)}
 
 
 
@@ -80,7 +91,20 @@ def _bm25(kind: str, name: str, ident: str) -> str:
 {kind}_h AS (SELECT '{kind}' AS kind, id::VARCHAR AS id, id AS number, round(-({part.format(tf="a", df="da")} + {part.format(tf="b", df="db")}), 6) AS score, 'text' AS field, list_position(list_transform(t, lambda x: starts_with(x, 'thth') OR x = 'license'), true) - 1 AS first FROM {kind}_c, {kind}_s, {kind}_f WHERE a > 0 OR b > 0)"""
 
 
+def _after() -> str:
+    """SQL of what follows the first pattern found."""
+    quoted = lambda p: p.replace("'", "''")
+    cases = [f"WHEN regexp_matches(t, '(?i){quoted(p)}') THEN coalesce(nullif(trim(substr(t, strpos(t, regexp_extract(t, '(?i){quoted(p)}')) + length(regexp_extract(t, '(?i){quoted(p)}')))), ''), regexp_extract(t, '(?i){quoted(p)}'))" for p in (*STRONG, *WEAK)]
+    return f"substr(CASE WHEN correction_type IS NULL THEN NULL WHEN correction_type = 'repetition' THEN t {' '.join(cases)} ELSE t END, 1, 240)"
+
+
 ORACLE_SQL = {
+    "turn_digest": with_views(
+        f"""{FRICTION}, d AS (SELECT *, user_text AS t, length(user_text) AS n FROM fr)
+SELECT session_id, turn_idx, correction_type, {_after()} AS correction_text, CASE WHEN n % 2 = 0 THEN 'label ' || n % 5 END AS label, concat_ws(',', CASE WHEN n % 7 = 0 THEN 'by 7' END, CASE WHEN n % 4 = 0 THEN 'by 4' END, CASE WHEN n % 3 = 0 THEN 'by 3' END) AS signals,
+    round(CASE WHEN n % 7 = 0 THEN 0.7 ELSE 0 END + CASE WHEN n % 4 = 0 THEN 0.4 ELSE 0 END + CASE WHEN n % 3 = 0 THEN 0.3 ELSE 0 END, 6)::DOUBLE AS frustration, CASE WHEN turn_idx > 0 THEN CASE WHEN n % 3 = 0 THEN 'approve' ELSE 'ask' END || ',reply' ELSE '' END AS acts FROM d""",
+        "messages",
+    ),
     "digest_segments": with_views(
         f"""{FRICTION}, f AS (SELECT session_id, turn_idx, correction_type, trim(regexp_replace(user_text, '\\s+', ' ', 'g')) AS fu, trim(regexp_replace(assistant_text, '\\s+', ' ', 'g')) AS fa FROM fr),
 ln AS (SELECT session_id, turn_idx, row_number() OVER (PARTITION BY session_id ORDER BY turn_idx) AS k, length('#' || turn_idx || CASE WHEN correction_type IS NOT NULL THEN ' [' || correction_type || ']' ELSE '' END || ' U: ' || CASE WHEN length(fu) > 60 THEN substr(fu, 1, 59) || '…' ELSE fu END || ' A: ' || CASE WHEN length(fa) > 100 THEN substr(fa, 1, 99) || '…' ELSE fa END) AS n FROM f),
