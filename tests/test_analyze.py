@@ -14,7 +14,7 @@ from tracewright.plans.store import Store
 from tracewright.sources import transcripts
 
 #: Those that the tests look at; what they are made of is tested with the operators.
-SOME = [a for a in builtin.ANALYZERS if a.id in ("turn-pair-core", "tool-trajectory", "failure-modes", "cache-economy", "routing-opportunity", "secret-leak", "session-overview")]
+SOME = [a for a in builtin.ANALYZERS if a.id in ("turn-pair-core", "tool-trajectory", "failure-modes", "cache-economy", "secret-leak", "session-overview")]
 TOKEN = "ghp_" + "a1B2" * 9
 
 
