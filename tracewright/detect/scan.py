@@ -23,9 +23,16 @@ from pyspark.sql import functions as F
 from tracewright.detect import rules
 from tracewright.detect.filters import excluded
 
+try:
+    import ahocorasick
+except ImportError:  # literals are then looked for one by one
+    ahocorasick = None
+
 SEVERITIES = ("medium", "high", "critical")
 CONFIDENCES = ("passive", "active")
 PREVIEW_HEAD, PREVIEW_MAX = 4, 12
+#: Literals this long are looked for together; shorter ones are found too often for that.
+LONG_LITERAL = 4
 
 # The assignment a context rule stands in.
 ASSIGN_OP = r"(?:=|>|:{1,3}=|\|\||:|=>|\?=|,)"
@@ -112,14 +119,44 @@ def fingerprint(secret: str) -> str:
     return hashlib.sha256(secret.encode()).hexdigest()[:16]
 
 
+@lru_cache(maxsize=1)
+def _literals() -> tuple[object, frozenset[int], dict[str, tuple[int, ...]]]:
+    """(automaton of the longer literals, rules without any, shorter literals), each with the numbers of their rules."""
+    by: dict[str, list[int]] = {}
+    for k, (_, literals, _) in enumerate(_compiled()):
+        for x in literals:
+            by.setdefault(x, []).append(k)
+    automaton = None
+    if ahocorasick is not None:
+        automaton = ahocorasick.Automaton()
+        for x, rules_of in by.items():
+            if len(x) >= LONG_LITERAL:
+                automaton.add_word(x, tuple(rules_of))
+        automaton.make_automaton()
+    short = {x: tuple(ks) for x, ks in by.items() if automaton is None or len(x) < LONG_LITERAL}
+    return automaton, frozenset(k for k, (_, literals, _) in enumerate(_compiled()) if not literals), short
+
+
+def possible(text: str) -> set[int]:
+    """Numbers of the rules of which a text has the literals: one pass for all the longer ones."""
+    automaton, always, short = _literals()
+    low, out = text.lower(), set(always)
+    if automaton is not None:
+        for _, ks in automaton.iter(low):
+            out.update(ks)
+    for x, ks in short.items():
+        if x in low:
+            out.update(ks)
+    return out
+
+
 def candidates(text: str) -> Iterator[tuple[Rule, int, str]]:
     """(rule, index, secret) of all matches of all rules; the first group, if any, is the secret."""
-    low = text.lower()
-    for rule, literals, pattern in _compiled():
-        if not literals or any(x in low for x in literals):
-            for m in pattern.finditer(text):
-                group = 1 if pattern.groups and m[1] is not None else 0
-                yield rule, m.start(group), m[group]
+    for k in sorted(possible(text)):
+        rule, _, pattern = _compiled()[k]
+        for m in pattern.finditer(text):
+            group = 1 if pattern.groups and m[1] is not None else 0
+            yield rule, m.start(group), m[group]
 
 
 FINDING = (

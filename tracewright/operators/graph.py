@@ -12,6 +12,7 @@ from tracewright.functions import keys
 from tracewright.schema import EDGE_TARGETS
 
 UNIT = ("analyzer_id", "source_set_hash")
+REGISTRY = 10_000
 
 
 def live(nodes: DataFrame) -> DataFrame:
@@ -72,7 +73,9 @@ def node_stats(nodes: DataFrame) -> DataFrame:
 
 
 def coverage(sessions: DataFrame, analyzers: DataFrame, runs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(session_id, missing, n_covered): the analyzers, a bounded registry, that have neither a run nor a live node on a session, in their order."""
+    """(session_id, missing, n_covered): the analyzers that have neither a run nor a live node on a session, in their order. The registry holds ``REGISTRY`` analyzers at most."""
+    if analyzers.count() > REGISTRY:
+        raise ValueError(f"a registry of more than {REGISTRY} analyzers")
     done = runs.select("session_id", "analyzer_id").union(live(nodes).where("node_kind <> 'error'").select("session_id", "analyzer_id")).distinct()
     have = done.groupBy("session_id").agg(F.collect_set("analyzer_id").alias("_have"))
     registry = F.broadcast(analyzers.agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "analyzer_id"))), lambda x: x["analyzer_id"]).alias("_all"), F.lit(1).alias("_one")))
