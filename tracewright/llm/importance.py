@@ -115,7 +115,7 @@ def resample(df: DataFrame, labels: DataFrame, k_share: float | None = None, id_
 
     ``k_share`` of the rows are drawn (rounded up); if None, the share of good ones among the
     labelled, so as many as the labels say are good. Rows that tie with the last
-    one drawn are all kept. A null or empty text has weight 0. Repeated
+    one drawn are all kept. Texts are read whole; a null or empty one has weight 0. Repeated
     rows get equal keys; a null id has the noise of "None". Without a labelled good row
     all weights are those of an even target model; an empty table gives no rows. Other columns are ignored.
     """

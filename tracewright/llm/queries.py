@@ -47,7 +47,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality_rules.ledger(quality_rules.measure(table(spark, sf_dir, "documents")))
     base = F.col("fail_bits").bitwiseAND(F.lit(quality_rules.policy_mask("base-1")).cast("long")) != 0
     out = quality_rules.apply_policy(led, "prose-1").withColumn("base_failed", base)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits", F.lit("prose-1").alias("policy"))
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of op3's policy does alone, and what its removal would bring back."""
+    return quality_rules.ablation(quality_rules.ledger(quality_rules.measure(table(spark, sf_dir, "documents"))), "prose-1")
 
 
 def op4_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_fst": op8_bpe_fst,
     "op9_simhash": op9_simhash,
     "op10_licenses": op10_licenses,
+    "quality_ablation": quality_ablation,
 }
 
 _DOMAIN = "CASE WHEN try_cast(nullif(regexp_extract(source, '([0-9]{1,9})$', 1), '') AS int) < 10 THEN 'web' WHEN try_cast(nullif(regexp_extract(source, '([0-9]{1,9})$', 1), '') AS int) < 15 THEN 'books' ELSE 'code' END"
@@ -142,7 +148,7 @@ m AS (SELECT w.id, doc_id, len(words) AS n_words, length(regexp_replace(text, '[
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
     (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (word_chars < 3 * n_words)::BIGINT + 16 * (word_chars > 12 * n_words)::BIGINT
     + 32 * (10 * n_dup_lines > 3 * n_lines)::BIGINT + 64 * (10 * n_bare_words > 2 * n_words)::BIGINT + 128 * (10 * n_upper > 4 * word_chars)::BIGINT + 256 * (10 * n_ellipsis_lines > 3 * n_lines)::BIGINT + 512 * (10 * n_bullet_lines > 9 * n_lines)::BIGINT AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, fail_bits = 0 AS kept, fail_bits FROM f""",
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, fail_bits = 0 AS kept, fail_bits, 'prose-1' AS policy FROM f""",
     "op5_topk": r"""
 WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(x * 64)) AS q FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -173,3 +179,5 @@ g AS (SELECT id, list(line) AS gone FROM l JOIN b USING (host, line) GROUP BY 1)
 k AS (SELECT p.*, list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), x)) AS stay FROM p LEFT JOIN g USING (id))
 SELECT doc_id, source, coalesce(len(lines), 0) AS n_lines, coalesce(len(lines) - len(stay), 0) AS n_dropped, CASE WHEN text IS NOT NULL THEN array_to_string(stay, chr(10)) END AS text FROM k""",
 }
+ORACLE_SQL["quality_ablation"] = f"""WITH led AS ({ORACLE_SQL["op3_quality_rules"]}), r(rule, bit) AS (VALUES {", ".join(f"('{name}', {bit}::BIGINT)" for name, bit in quality_rules.BITS.items())})
+SELECT rule, count(*) FILTER (fail_bits & bit <> 0) AS failed, count(*) FILTER (fail_bits = bit) AS failed_alone, count(*) FILTER (fail_bits & ~bit = 0) AS kept_without FROM led, r GROUP BY 1"""
