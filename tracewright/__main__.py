@@ -15,7 +15,7 @@ from tracewright.operators import graph, proposals, search, stats
 from tracewright.plans import analyze, builtin, registry
 from tracewright.plans.store import Store
 from tracewright.session import session
-from tracewright.sources import sinks, transcripts
+from tracewright.sources import sinks
 
 FIELDS = ("content_text", "content_thinking")
 SECRET_FAMILIES = ("secret-leak", "gitleaks", "nosey-parker", "detect-secrets", "trufflehog")

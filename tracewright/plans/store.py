@@ -56,10 +56,10 @@ class Store:
 
     def sync(self, source: str, folder: str) -> int:
         """Append the messages of a folder of transcripts that aren't stored yet; only files changed since the last sync of the source are read."""
-        last = self.read("messages").where(F.col("source") == source).agg(F.max("synced_at")).first()[0] if self._there("messages") else None
+        last = self.read("messages").where(F.col("source") == source).agg(F.date_format(F.max("synced_at"), "yyyy-MM-dd'T'HH:mm:ss")).first()[0] if self._there("messages") else None
         if source in transcripts.DIALECTS:
             # files of the moment of the last sync are read again: their rows are known by their ids
-            rows = transcripts.DIALECTS[source](transcripts.files(self.spark, folder, since=None if last is None else last.strftime("%Y-%m-%dT%H:%M:%S")))
+            rows = transcripts.DIALECTS[source](transcripts.files(self.spark, folder, since=last))
         else:
             rows = transcripts.read(self.spark, source, folder)
         return append_new(rows.withColumn("synced_at", F.current_timestamp()), f"{self.path}/messages")
