@@ -37,7 +37,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates (five-word shingles, similarity 0.8 or more): that with the least id."""
+    """One document of each class of near-duplicates (five-word shingles, similarity 0.8 or more): that with the least id.
+
+    SimHash shows the candidates, the whole shingle sets confirm them.
+    """
     return keep_one(docs, shingle=5, similarity=0.8).select(*docs.columns)
 
 

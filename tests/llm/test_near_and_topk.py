@@ -199,3 +199,61 @@ def test_similar_classes_edges(spark):
     by = {r.doc_id: r.component_id for r in out.collect()}
     assert {by[100 + k] for k in range(12)} == {100} and by[300] == by[301] == by[302] == 300 and by[306] == 306
     assert similar.similar_classes(empty(spark)).count() == 0 and simhash.keep_one(empty(spark), shingle=5, similarity=0.8).count() == 0
+
+
+def python_votes(found, words):
+    """Majorities of the votes, a shingle at a time."""
+    mask, out = 2**64 - 1, []
+    offsets = [int(x) for x in similar._offsets(similar.VOTES * words)]
+    hashes = []
+    for x in found:
+        own = []
+        for o in offsets:
+            h = int(x) ^ o
+            h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+            h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+            own.append(h ^ h >> 31)
+        hashes.append(own)
+    for w in range(words):
+        for b in range(64):
+            votes = [h[v * words + w] >> b & 1 for h in hashes for v in range(similar.VOTES)]
+            out.append(int(2 * sum(votes) > len(votes)))
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 4, 300])
+def test_simhash_of_shingles(n):
+    found = np.random.default_rng(n).integers(0, 1 << 64, n, dtype=np.uint64)
+    assert similar.simhash_bits(found, 2).tolist() == python_votes(found, 2)
+
+
+@pytest.mark.parametrize("n, m, both", [(4, 5, 4), (9, 9, 8), (13, 14, 12), (90, 90, 80), (400, 500, 400)])
+def test_sets_at_the_similarity_are_candidates(n, m, both):
+    assert both / (n + m - both) >= 0.8
+    r, far, met = np.random.default_rng(n), [], 0
+    bands, width = similar.layout(200_000)
+    for _ in range(300):
+        every = r.integers(0, 1 << 64, n + m - both, dtype=np.uint64)
+        a, b = (similar.fingerprint(x, bands, width) for x in (every[:n], every[n - both :]))
+        far.append(int(np.bitwise_count((a[0] ^ b[0]).view(np.uint64)).sum()))
+        met += bool(set(a[1].tolist()) & set(b[1].tolist()))
+    assert met == 300 and max(far) <= similar.radius() and np.mean(far) / (64 * similar.WORDS) < similar.differing() + 0.01
+
+
+@pytest.mark.parametrize("tile, own, other", [(16_384, 4096, 65_536), (6, 3, 5)])
+def test_similar_classes_by_bands(spark, monkeypatch, tile, own, other):
+    for name, value in (("BUCKET_ROWS", 8), ("TILE_ROWS", tile), ("OWN_ROWS", own), ("OTHER_ROWS", other)):
+        monkeypatch.setattr(similar, name, value)
+    texts = near_texts(6)
+    assert similar.layout(len(texts))[0] > 10
+    grams = [{tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} if ws else set() for ws in (words(t.lower()) for t in texts)]
+    like = lambda a, b: grams[a] == grams[b] or (bool(grams[a] | grams[b]) and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.8)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in similar.similar_classes(df).collect()} == components(range(len(texts)), like)
+
+
+def test_candidates_come_from_simhash(spark, monkeypatch):
+    df = spark.createDataFrame([(0, "a b c d e f g h i j k l"), (1, "a b c d e f g h i j k l m"), (2, "n o p q r s t")], "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in similar.similar_classes(df).collect()} == {0: 0, 1: 0, 2: 2}
+    monkeypatch.setattr(similar, "radius", lambda similarity: -1)
+    assert {r.doc_id: r.component_id for r in similar.similar_classes(df).collect()} == {0: 0, 1: 1, 2: 2}

@@ -185,7 +185,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int | None = None, similarity: float | None = None) -> DataFrame:
     """One row of each class, whole, with all columns of ``df``: that with the least id, and of repeated ids that with the least text digest.
 
-    With ``shingle`` and ``similarity`` the classes are those of exact similarity of word shingles, else those of fingerprints within ``radius``.
+    With ``shingle`` and ``similarity`` the classes are those of exact similarity of word shingles, with candidates by wider fingerprints, else those of fingerprints within ``radius``.
     Null texts count as empty, null ids come last, of equal rows one stays, an empty table gives no rows.
 
     Rows are told by (id, text digest). Only the keys that go, and those that several rows share, meet
